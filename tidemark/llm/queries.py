@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, pii
+from tidemark.llm import bpe, language, lines, mix, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(own), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text"), 256).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return got.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encoded(F.col("text"), vocabulary())
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
@@ -49,10 +63,13 @@ def vocabulary() -> str:
 def queries() -> dict[str, Query]:
     return {
         "op4_pii": op4_pii,
+        "op5_lines": op5_lines,
+        "op6_warc": op6_warc,
+        "op8_mix": op8_mix,
         "op9_bpe": op9_bpe,
         "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.sql()}
+    return {"op4_pii": pii.sql(), "op5_lines": lines.sql(), "op6_warc": warc.sql()}
