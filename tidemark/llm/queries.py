@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, lines, mix, pii, warc
+from tidemark.llm import bpe, language, lines, minhash, mix, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = minhash.classes(table(spark, sf_dir, "documents"))
+    return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ def vocabulary() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_minhash": op2_minhash,
         "op4_pii": op4_pii,
         "op5_lines": op5_lines,
         "op6_warc": op6_warc,
