@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, lines, minhash, mix, pii, warc
+from tidemark.llm import ann, bpe, language, lines, minhash, mix, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op4_pii": op4_pii,
         "op5_lines": op5_lines,
         "op6_warc": op6_warc,
+        "op7_ann": op7_ann,
         "op8_mix": op8_mix,
         "op9_bpe": op9_bpe,
         "op10_language": op10_language,
