@@ -113,8 +113,8 @@ def brute(rows: DataFrame, queries: pd.DataFrame, k: int, columns: list[str]) ->
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97, vec_id: str = "vec_id", vector: str = "embedding",
-           sample: int = 20_000, branch: int = 8, leaf: int = 256, probes: int = 64, block: int = 4096) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding",
+           sample: int = 20_000, branch: int = 8, leaf: int = 256, probes: int = 128, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of df found, by Euclidean distance in double precision.
 
     The tree is fit on at most `sample` vectors and indexes every row. Best-bin-first visits widen until `recall` of
@@ -155,10 +155,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.97,
     asked = taking_part(queries, vec_id, vector).distinct()
     asked = asked.mapInPandas(visits, "id long, v array<double>, leaf long, part long")
     count = F.element_at(F.create_map(*[F.lit(x) for f, n in sorted(parts.items()) if n > 1 for x in (f, n)]), F.col("leaf")) if max(parts.values()) > 1 else F.lit(None)
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce(count, F.lit(1)).cast("long"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce(count, F.lit(1)).cast("long")).cast("long")
     # Queries of a block come in groups too, so no group holds all queries of the table.
     many = max(1, math.ceil(asked.select(F.count("*")).first()[0] / max(1, sum(parts.values())) / 1024))
-    cells = indexed.select("id", "v", "leaf", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).cast("long").alias("lot"))
+    cells = indexed.select("id", "v", "leaf", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("lot"))
     asked = asked.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(many)).cast("long"))
 
     def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, language, lines, minhash, mix, pii, warc
+from tidemark.llm import ann, bpe, language, lines, minhash, mix, pii, ranges, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ranges.joined(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ def vocabulary() -> str:
 def queries() -> dict[str, Query]:
     return {
         "op2_minhash": op2_minhash,
+        "op3_ranges": op3_ranges,
         "op4_pii": op4_pii,
         "op5_lines": op5_lines,
         "op6_warc": op6_warc,
