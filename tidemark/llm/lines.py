@@ -117,10 +117,10 @@ def repeated(docs: DataFrame, doc_id: str, text: str, least: int = 40, copies: i
                         ids.append(i)
                         digests.append(xxh3_128_digest(own[k]))
                 at += len(own)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "key": digests})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "key": pd.Series(digests, dtype=object)})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs = rows.mapInPandas(suspects, "doc_id long, key binary").groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    pairs = rows.mapInPandas(suspects, "doc_id string, key binary").select("key", F.col("doc_id").cast("long").alias("doc_id")).groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     pairs = stored(pairs.select("key", "doc_id"), "lines")
     many = pairs.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies)
     lost = pairs.join(many, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, language, lines, minhash, mix, pii, ranges, warc
+from tidemark.llm import ann, bpe, chat, language, lines, minhash, mix, pii, ranges, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    got = chat.read_back(chat.forest(rows))
+    return got.withColumn("conv_id", F.nullif("conv", F.lit("")).cast("long")).drop("conv")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = minhash.classes(table(spark, sf_dir, "documents"))
     return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -77,6 +85,7 @@ def vocabulary() -> str:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat": op1_chat,
         "op2_minhash": op2_minhash,
         "op3_ranges": op3_ranges,
         "op4_pii": op4_pii,
@@ -90,4 +99,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.sql(), "op5_lines": lines.sql(), "op6_warc": warc.sql()}
+    return {"op1_chat": chat.sql(), "op4_pii": pii.sql(), "op5_lines": lines.sql(), "op6_warc": warc.sql()}

@@ -23,7 +23,7 @@ ROW = "page_id long, payload_bytes long, payload_digest string, record_type stri
 
 
 def planned(pages: DataFrame, page_id: str, url: str, html: str, least: int) -> DataFrame:
-    """page_id, url, html (null for revisits), bytes, digest, record_type, refers_to.
+    """page_id, url, html (null for revisits), bytes, digest, record_type, refers_to; ids as text.
 
     Rows with equal payloads of `least` bytes or more: those with the largest page_id are the response, others revisit it.
     Payloads are grouped by SHA-1 and length without their texts; the join splits where one payload has very many rows.
@@ -35,14 +35,14 @@ def planned(pages: DataFrame, page_id: str, url: str, html: str, least: int) ->
     known = rows.join(same, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.select(
-        "page_id", "url", F.when(~again, F.col("html")).alias("html"), "bytes", "digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"),
+        F.col("page_id").cast("string").alias("page_id"), "url", F.when(~again, F.col("html")).alias("html"), "bytes", "digest",
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first").cast("string")).alias("refers_to"),
     )
 
 
 def record(page_id, url, html, size: int, digest: str, kind: str, refers_to, date: str) -> bytes:
     """One WARC/1.1 record. A revisit holds the HTTP header alone, with the length of the payload that it saw."""
-    name = lambda i: f"<urn:page:{'' if i is None or pd.isna(i) else int(i)}>"
+    name = lambda i: f"<urn:page:{'' if i is None else i}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (html.encode("utf-8") if kind == "response" else b"")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
@@ -142,7 +142,8 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            exact = {c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("page_id", "refers_to")}
+            return pd.DataFrame(rows, columns=names).assign(**exact)
 
         for pdf in batches:
             for content in pdf["content"]:
