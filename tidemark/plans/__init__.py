@@ -1 +1,8 @@
-"""."""
+"""The library's query catalogue."""
+
+from tidemark.plans import contents
+from tidemark.plans.base import Catalogue
+
+
+def catalogues() -> list[Catalogue]:
+    return [contents.catalogue]
