@@ -1,78 +1,19 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts, components, running sums."""
+"""What the operators of this subpackage share: running sums over a whole table, besides the library's own storage and graphs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What text counts as blank: space, and tab to carriage return.
-BLANK = " \t\n\x0b\x0c\r"
+from tidemark.operators.graph import components
+from tidemark.storage import cut, scratch, stored
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of the shared folder: for wide rows, of which later steps read a few columns."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps: (node, root), root the smallest node of its component.
-
-    Rows are linear in the edges and only (long, long) rows shuffle; every step is checkpointed. Nodes without an edge
-    are absent. Self-loops and repeated edges are harmless; edges with a null end are left out.
-    """
-    now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    now = cut(now)
-    before = None
-    while True:
-        # Large star: every larger neighbour of a node moves to the node's least neighbour.
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: every smaller neighbour of a node, and the node, move to its least neighbour.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(least, large.u == least.c)
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before or state[0] == 0:
-            break
-        before = state
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return stars.unionByName(roots)
+__all__ = ["components", "cut", "running", "scratch", "stored"]
 
 
 def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
