@@ -1,8 +1,8 @@
 """The library's query catalogue."""
 
-from tidemark.plans import contents, vectors
+from tidemark.plans import contents, series, vectors
 from tidemark.plans.base import Catalogue
 
 
 def catalogues() -> list[Catalogue]:
-    return [contents.catalogue, vectors.catalogue]
+    return [contents.catalogue, vectors.catalogue, series.catalogue]
