@@ -119,8 +119,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98,
 
     The tree is fit on at most `sample` vectors and indexes every row. Best-bin-first visits widen until `recall` of
     the true neighbours of `probes` sampled rows, found by brute force over all rows, lies in the leaves visited; that
-    many leaves are visited for each query. A leaf's rows are searched in blocks of about `block`, so a leaf with very many rows is
-    many tasks; each gives its k best, which are merged. A query's own row (same id) is no candidate; ties go to the smaller
+    many leaves are visited for each query. Leaves are packed into bins of about `block` rows, a leaf with very many rows into
+    many; a query goes to the bins of its leaves, and the k best of each are merged. A query's own row (same id) is no candidate; ties go to the smaller
     id; rows that share an id are separate. Null, zero and non-finite vectors, and those of another length than most, take no part.
     """
     spark = df.sparkSession
@@ -137,49 +137,69 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98,
     indexed = stored(rows.mapInPandas(assign, "id long, v array<double>, leaf long"), "index")
     sizes = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf of the tree
     width = calibrated(tree, indexed, k, recall, probes)
-    parts = {f: max(1, math.ceil(n / block)) for f, n in sizes.items()}
+    bins = packed(sizes, block)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A query goes once to each bin that it visits, with its leaves there."""
         for pdf in batches:
             out = []
             for i, v in zip(pdf["id"], pdf["v"]):
-                for n, f in enumerate(tree.order(np.asarray(v, np.float64))):
-                    if n >= width:
-                        break
-                    out += [(i, v, f, p) for p in range(parts.get(f, 0))]
+                seen: dict[int, list[int]] = {}
+                for _, f in zip(range(width), tree.order(np.asarray(v, np.float64))):
+                    for b in bins.get(f, ()):
+                        seen.setdefault(b, []).append(f)
+                out += [(i, v, b, fs) for b, fs in seen.items()]
                 if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=["id", "v", "leaf", "part"])
+                    yield pd.DataFrame(out, columns=["id", "v", "bin", "leaves"])
                     out = []
-            yield pd.DataFrame(out, columns=["id", "v", "leaf", "part"])
+            yield pd.DataFrame(out, columns=["id", "v", "bin", "leaves"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = [bins[f][h % len(bins[f])] for f, h in zip(pdf["leaf"], pdf["h"])]
+            yield pdf.drop(columns="h").assign(bin=np.array(at, np.int64))
 
     asked = taking_part(queries, vec_id, vector).distinct()
-    asked = asked.mapInPandas(visits, "id long, v array<double>, leaf long, part long")
-    count = F.element_at(F.create_map(*[F.lit(x) for f, n in sorted(parts.items()) if n > 1 for x in (f, n)]), F.col("leaf")) if max(parts.values()) > 1 else F.lit(None)
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce(count, F.lit(1)).cast("long")).cast("long")
-    # Queries of a block come in groups too, so no group holds all queries of the table.
-    many = max(1, math.ceil(asked.select(F.count("*")).first()[0] / max(1, sum(parts.values())) / 1024))
-    cells = indexed.select("id", "v", "leaf", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("lot"))
+    asked = stored(asked.mapInPandas(visits, "id long, v array<double>, bin long, leaves array<long>"), "visits")
+    # Queries of a bin come in lots too, so no group holds all queries of the table.
+    last = max(b for own in bins.values() for b in own)
+    many = max(1, math.ceil(asked.count() / (last + 1) / 1024))
+    cells = indexed.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).mapInPandas(place, "id long, v array<double>, leaf long, bin long")
+    cells = cells.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
     asked = asked.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(many)).cast("long"))
 
     def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(c):
-            y, ids = matrix(c["v"]), c["id"].to_numpy()
-            for i, v in zip(q["id"], q["v"]):
-                d = distances(np.asarray(v, np.float64), y)
-                keep = np.flatnonzero(ids != i)
-                if len(keep) > k:
-                    keep = keep[d[keep] <= np.partition(d[keep], k - 1)[k - 1]]
-                first = keep[np.lexsort((ids[keep], d[keep]))][:k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[first], "score": d[first]}))
+            y, ids, leaf_of = matrix(c["v"]), c["id"].to_numpy(), c["leaf"].to_numpy()
+            for i, v, fs in zip(q["id"], q["v"], q["leaves"]):
+                at = np.flatnonzero(np.isin(leaf_of, fs) & (ids != i))
+                d = distances(np.asarray(v, np.float64), y[at])
+                if len(at) > k:
+                    near = d <= np.partition(d, k - 1)[k - 1]
+                    at, d = at[near], d[near]
+                first = np.lexsort((ids[at], d))[:k]
+                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at[first]], "score": d[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    keys = ["leaf", "part", "lot"]
+    keys = ["bin", "lot"]
     found = asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def packed(sizes: dict[int, int], block: int) -> dict[int, list[int]]:
+    """The bins of each leaf: neighbouring leaves share one of about `block` rows, a larger leaf has several of its own."""
+    bins, at, held = {}, 0, 0
+    for f, n in sorted(sizes.items()):
+        if held and held + n > block:
+            at, held = at + 1, 0
+        parts = max(1, math.ceil(n / block))
+        bins[f] = list(range(at, at + parts))
+        at, held = at + parts - 1, held + n if parts == 1 else block
+    return bins
+
+
 def calibrated(tree: Tree, indexed: DataFrame, k: int, recall: float, probes: int) -> int:
     """How many leaves to visit so that `recall` of the probes' true neighbours lie in them."""
     h = F.xxhash64(F.lit(29), "id")
