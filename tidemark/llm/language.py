@@ -40,7 +40,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int =
     without text or language are left out. One row a language, and the bounded sample, reach the driver.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("g"), F.col(text).alias("t"), F.abs(F.xxhash64(text)).alias("h")
+        F.col(lang).alias("g"), F.col(text).alias("t"), F.xxhash64(text).bitwiseAND(F.lit(2**63 - 1)).alias("h")
     )
     counts = {r.g: r.n for r in rows.groupBy("g").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:

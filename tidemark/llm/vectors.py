@@ -34,7 +34,7 @@ def bounded_sample(rows: DataFrame, most: int, seed: int) -> np.ndarray:
     n = rows.agg(F.approx_count_distinct(F.xxhash64("v"))).first()[0]
     if not n:
         return np.zeros((0, 0))
-    h = F.abs(F.xxhash64(F.lit(seed), "v"))
+    h = F.xxhash64(F.lit(seed), "v").bitwiseAND(F.lit(2**63 - 1))
     part = int(2**63 * min(1.0, 1.5 * most / n)) - 1
     got = rows.where(h <= part).select("v", h.alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(most).collect()
     return matrix(pd.Series([r.v for r in got]))
