@@ -19,7 +19,8 @@ def distribution(x: str | Column, digits: int = 6, quantiles: dict[str, float] =
     x = F.col(x) if isinstance(x, str) else x
     show = lambda c, name: F.round(c, digits).alias(name)
     ends = [F.count(x).alias("count"), show(F.avg(x), "mean"), show(F.stddev_pop(x), "std"), show(F.min(x), "min"), show(F.max(x), "max")]
-    return ends + [show(F.percentile(x, F.lit(q)), name) for name, q in quantiles.items()]
+    each = F.percentile(x, F.array(*[F.lit(q) for q in quantiles.values()]))  # one aggregate, shared by all columns
+    return ends + [show(F.get(each, F.lit(i)), name) for i, name in enumerate(quantiles)]
 
 
 def average_rank(x: str, by: list[str] | None = None) -> Column:
@@ -54,7 +55,7 @@ def pearson(x: str | Column, y: str | Column, least: int = 3) -> Column:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
     fine = (F.count(a) >= least) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(fine, F.corr(a, b))
+    return F.when(fine, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def entropy_bits(counts: Column) -> Column:

@@ -116,20 +116,23 @@ def label_boxes(text: Column, classes: int = 5, slack: float = 0.01) -> Column:
     """
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
 
-    def parsed(line: Column) -> Column:
-        f = F.split(line, r"\s+")
+    def numbers(f: Column) -> Column:
         num = lambda i: F.get(f, F.lit(i)).try_cast("double")
-        c, x, y, w, h = F.get(f, F.lit(0)).try_cast("int"), num(1), num(2), num(3), num(4)
+        return F.struct(F.size(f).alias("n"), F.get(f, F.lit(0)).try_cast("int").alias("c"), *[num(i).alias(k) for i, k in enumerate("xywh", 1)])
+
+    def checked(r: Column) -> Column:
+        c, x, y, w, h = (r[k] for k in "cxywh")
         finite = F.forall(F.array(x, y, w, h), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
         beyond = F.greatest(w / 2 - x, h / 2 - y, x + w / 2 - 1, y + h / 2 - 1)
         issue = (
-            F.when(F.size(f) != 5, "fields").when(c.isNull() | ~F.coalesce(finite, F.lit(False)), "number").when((c < 0) | (c >= classes), "class")
+            F.when(r["n"] != 5, "fields").when(c.isNull() | ~F.coalesce(finite, F.lit(False)), "number").when((c < 0) | (c >= classes), "class")
             .when(~(x.between(0, 1) & y.between(0, 1) & (w > 0) & (w <= 1) & (h > 0) & (h <= 1)), "range")
             .when(beyond > slack, "outside").when(beyond > 1e-9, "edge")
         )
-        return F.struct(c.alias("c"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), issue.alias("issue"))
+        return F.struct(*[r[k].alias(k) for k in "cxywh"], issue.alias("issue"))
 
-    rows = F.transform(lines, parsed)
+    # Each step binds what the next one uses several times.
+    rows = F.transform(F.transform(F.transform(lines, lambda s: F.split(s, r"\s+")), numbers), checked)
     kept = F.filter(rows, lambda r: r["issue"].isNull() | (r["issue"] == "edge"))
     boxes = F.transform(kept, lambda r: F.struct(*[r[k].alias(k) for k in ("c", "x", "y", "w", "h")]))
     issues = F.array_sort(F.transform(F.filter(rows, lambda r: r["issue"].isNotNull()), lambda r: r["issue"]))

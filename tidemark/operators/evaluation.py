@@ -29,14 +29,16 @@ def average_precision(curve: DataFrame, cls: str, support: DataFrame, points: in
     last = envelope.groupBy(cls).agg(F.max("recall").alias("top"), F.max("p").alias("best"))
     start = ends.join(last, cls, "left").select(cls, F.lit(0.0).alias("recall"), F.lit(1.0).alias("p"), F.coalesce("best", F.lit(0.0)).alias("e"))
     body = envelope.select(cls, "recall", "p", F.col("p").alias("e"))
-    stop = ends.join(last, cls, "left").select(cls, F.lit(1.0).alias("recall"), F.lit(0.0).alias("p"), F.lit(0.0).alias("e")).where("true")
+    stop = ends.join(last, cls, "left").select(cls, F.lit(1.0).alias("recall"), F.lit(0.0).alias("p"), F.lit(0.0).alias("e"))
     full = start.unionByName(body).unionByName(stop).groupBy(cls, "recall").agg(F.max("e").alias("e"))
     nxt = Window.partitionBy(cls).orderBy("recall")
     pieces = full.withColumns({"r2": F.lead("recall").over(nxt), "e2": F.lead("e").over(nxt)})
-    grid = curve.sparkSession.range(points).select((F.col("id") / (points - 1)).alias("x"))
-    inside = (F.col("x") >= F.col("recall")) & ((F.col("x") < F.col("r2")) | F.col("r2").isNull())
+    top = points - 1
+    steps = F.sequence(F.floor(F.col("recall") * top).cast("int"), F.coalesce(F.ceil(F.col("r2") * top).cast("int"), F.lit(top)))
+    on_grid = pieces.withColumn("x", F.explode(steps)).withColumn("x", F.col("x") / top)  # a piece meets its own grid points
+    on_grid = on_grid.where((F.col("x") >= F.col("recall")) & (F.col("r2").isNull() | (F.col("x") < F.col("r2"))))
     value = F.when(F.col("r2").isNull(), F.col("e")).otherwise(F.col("e") + (F.col("e2") - F.col("e")) * (F.col("x") - F.col("recall")) / (F.col("r2") - F.col("recall")))
-    each = pieces.join(F.broadcast(grid), inside).groupBy(cls).agg(F.avg(value).alias("ap"))  # a grid of `points` rows
+    each = on_grid.groupBy(cls).agg(F.avg(value).alias("ap"))
     return support.join(each, cls, "left").select(cls, "support", F.when(F.col("support") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps: shuffle files stay on the executors' disks until the driver collects its garbage, which a
+    loop of many small steps may not bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
