@@ -1 +1 @@
-"""."""
+"""Archives, text tables and publications."""
