@@ -209,3 +209,38 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["l_orderkey", "l_returnflag", "l_linestatus"]
     only = lines.where("l_linenumber <= 3").select(*key).exceptAll(lines.where("l_linenumber >= 2").select(*key))
     return only.groupBy(*key).agg(F.count("*").alias("surplus"))
+
+
+@catalogue.add(f"""WITH {OCC}, c AS (SELECT content_id, min(doc_id) AS k, ('0x' || substr(content_id, 1, 6))::BIGINT AS h FROM occ GROUP BY 1)
+SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM c a JOIN c b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 2""")
+def perceptual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents whose 24-bit hashes differ in two bits at most, by bands that such hashes must share."""
+    from tidemark.operators.hashes import near_hashes
+
+    one = occurrences(spark, sf_dir).groupBy("content_id").agg(F.min("doc_id").alias("k"))
+    hashed = one.select("k", F.conv(F.substring("content_id", 1, 6), 16, 10).cast("long").alias("h"))
+    return near_hashes(hashed, "k", "h", 2, 24)
+
+
+@catalogue.add(f"""WITH {OCC}, x AS (SELECT content_id, count(*) AS n, min(doc_id) AS first FROM occ GROUP BY 1), s AS (SELECT DISTINCT content_id, source FROM occ)
+SELECT source, count(*) AS contents, count(*) FILTER (WHERE n > 1) AS shared_contents, min(first) AS first FROM s JOIN x USING (content_id) GROUP BY 1""")
+def source_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    occ = occurrences(spark, sf_dir)
+    one = occ.groupBy("content_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    held = J.checked_join(occ.select("content_id", "source").distinct(), one, ["content_id"])
+    return held.groupBy("source").agg(F.count("*").alias("contents"), F.count_if(F.col("n") > 1).alias("shared_contents"), F.min("first").alias("first"))
+
+
+@catalogue.add(f"""WITH {OCC}, p AS (SELECT content_id, list_sort(list({{'doc_id': doc_id, 'split': split}})) AS points FROM occ GROUP BY 1)
+SELECT content_id, len(points) AS n, array_to_string(list_transform(points, lambda x: x.doc_id || ':' || x.split), '|') AS points FROM p WHERE len(points) > 1""")
+def content_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = F.array_sort(F.collect_list(F.struct("doc_id", "split")))
+    own = occurrences(spark, sf_dir).groupBy("content_id").agg(points.alias("p")).where(F.size("p") > 1)
+    return own.select("content_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["split"])), "|").alias("points"))
+
+
+@catalogue.add("""WITH k AS (SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '.\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)
+SELECT CASE WHEN e IN ('jpg','jpeg','png','bmp','tif','tiff','webp') THEN 'image' WHEN e IN ('yaml','yml','json','toml','ini','cfg') THEN 'config' WHEN e IN ('csv','parquet','xml','md') THEN 'metadata' WHEN e = 'txt' THEN 'label' ELSE 'other' END AS kind, count(*) AS members FROM k GROUP BY 1""")
+def member_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
+    return table(spark, sf_dir, "pages").groupBy(X.member_kind(path).alias("kind")).agg(F.count("*").alias("members"))

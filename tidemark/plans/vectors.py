@@ -231,3 +231,24 @@ def changepoint_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice(V.doubles(F.col("embedding")), 1, 4).alias("v"))
     got = centroid_changes(rows, "label", "vec_id", "v", 5)
     return got.where("change is not null").select("label", "vec_id", "position", F.round("change", 6).alias("change"))
+
+
+@catalogue.add()
+def hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.kernels import hdbscan as fit
+
+    return fit(vectors(spark, sf_dir), 5)
+
+
+@catalogue.add()
+def optics_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.kernels import optics
+
+    return optics(vectors(spark, sf_dir), 5)
+
+
+@catalogue.add()
+def agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.kernels import agglomerative as fit
+
+    return fit(vectors(spark, sf_dir), 10)
