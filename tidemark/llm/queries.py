@@ -99,4 +99,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.sql(), "op4_pii": pii.sql(), "op5_lines": lines.sql(), "op6_warc": warc.sql()}
+    return {"op1_chat": chat.sql(), "op3_ranges": ranges.sql(), "op4_pii": pii.sql(), "op5_lines": lines.sql(), "op6_warc": warc.sql()}

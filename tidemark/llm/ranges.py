@@ -178,3 +178,14 @@ class Forest:
         least = self.members[self.label]
         moved = least != self.members
         return list(zip(self.members[moved].tolist(), least[moved].tolist()))
+
+
+def sql(embeddings: str = "embeddings") -> str:
+    """The query's result in DuckDB's SQL, for a table small enough to compare all pairs."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM {embeddings}),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND a.size > 0 AND b.size > 0 WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+w AS (SELECT vec_id AS n, vec_id AS r FROM e UNION SELECT l.b, w.r FROM w JOIN l ON l.a = w.n),
+c AS (SELECT n, min(r) AS component_id FROM w GROUP BY n), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id"""
