@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.graph import components
-from tidemark.storage import cut, scratch, stored
+from tidemark.storage import cut, release, scratch, stored
 
-__all__ = ["components", "cut", "running", "scratch", "stored"]
+__all__ = ["components", "cut", "release", "running", "scratch", "stored"]
 
 
 def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, stored
+from tidemark.llm.common import components, cut, release, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +109,78 @@ def letters(text: Column) -> Column:
     return spelt(text)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, k: int = 5, least: int = 3, functions: int = 32) -> DataFrame:
+def at_most(a: np.ndarray, b: np.ndarray, grams: int = 3) -> int:
+    """An alignment's edits, from runs of words that both texts have once and in the same order; at least the distance."""
+    if min(len(a), len(b)) < grams:
+        return max(len(a), len(b))
+    g, h = (sum(x[i : len(x) - grams + 1 + i].astype(np.uint64) << np.uint64(21 * i) for i in range(grams)) for x in (a, b))
+    one = lambda x: np.unique(x, return_index=True, return_counts=True)
+    (u, iu, nu), (v, iv, nv) = one(g), one(h)
+    _, p, q = np.intersect1d(u[nu == 1], v[nv == 1], assume_unique=True, return_indices=True)
+    i, j = iu[nu == 1][p], iv[nv == 1][q]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if len(j):  # those that stand in order with all others
+        fine = (j == np.maximum.accumulate(j)) & (j == np.minimum.accumulate(j[::-1])[::-1])
+        i, j = i[fine], j[fine]
+    i, j = (np.concatenate([x + k for k in range(grams)]) for x in (i, j))
+    at = np.unique(np.stack([i, j], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+    keep = np.ones(len(at), bool)
+    keep[1:] = (np.diff(at[:, 0]) > 0) & (np.diff(at[:, 1]) > 0)
+    at = at[keep]
+    ends = np.concatenate([[[-1, -1]], at, [[len(a), len(b)]]])
+    return int((np.diff(ends, axis=0) - 1).max(axis=1).sum())
+
+
+def banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance is at most `most`, by rows of the diagonals that far from the main one."""
+    n, m, far = len(a), len(b), np.int64(1 << 40)
+    if abs(n - m) > most:
+        return False
+    width = np.arange(2 * most + 1)
+    padded = np.full(max(n, m) + 2 * most + 2, -1, np.int64)  # column j of row i is at j - i + most of the band
+    padded[most + 1 : most + 1 + m] = b
+    row = np.where(width >= most, width - most, far)
+    for i in range(1, n + 1):
+        best = row + (padded[i : i + 2 * most + 1] != a[i - 1])
+        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
+        if i <= most:
+            best[most - i] = min(best[most - i], i)
+            best[: most - i] = far
+        row = np.minimum.accumulate(best - width) + width
+        if row.min() > most:
+            return False
+    return bool(row[m - n + most] <= most)
+
+
+def aligns(s: str, t: str, similarity: float) -> bool:
+    """Whether two texts' letters align with at most (1 - similarity) x the longer length of edits.
+
+    Words that the other text lacks are edits, so too many of them settle it, and so does an alignment along shared runs that
+    is good enough; only what is left needs the band.
+    """
+    a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in (s, t))
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    x, y = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    if max(len(x), len(y)) - both > most:
+        return False
+    return at_most(a, b) <= most or banded(a, b, most)
+
+
+def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, s, t) that align, without their letters."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fine = [aligns(s, t, similarity) for s, t in zip(pdf["s"], pdf["t"])]
+            yield pdf.loc[fine, ["a", "b"]]
+
+    return pairs.select("a", "b", "s", "t").mapInPandas(check, "a long, b long")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, k: int = 5, least: int = 3,
+            functions: int = 32, first_keys: tuple[int, ...] = (1, 4)) -> DataFrame:
     """(doc_id, class_id, n_copies): one row a distinct id; the class is named by its smallest id.
 
     Equal texts are copies and are sketched on as one; n_copies counts a text's distinct ids. Texts that share a key
@@ -124,16 +195,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     copies = sketch.groupBy("digest").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
     copies = cut(copies)
     reps = sketch.join(copies, "digest").where("id = rep").dropDuplicates(["digest"])
-    buckets = reps.select("id", "n", F.explode("keys").alias("key"))
+    buckets = reps.select("id", "n", F.posexplode("keys").alias("f", "key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("in")).where(F.col("in") > 1).select("key")
     members = stored(buckets.join(shared, "key"), "buckets")
     # Only the texts that may be aligned are needed further on.
     wanted = members.select("id").distinct()
     spelt = stored(rows.join(wanted, "id", "left_semi").select("id", letters(F.col("text")).alias("s")).distinct(), "letters")
 
-    tried = links = roots = None
+    tried = roots = None
     for turn in count():
-        now = members
+        # The first keys join most groups at the cost of one centre a text; all keys then see what is still apart.
+        now = members.where(F.col("f") < first_keys[turn]) if turn < len(first_keys) else members
         if roots is None:
             now = now.withColumn("root", F.col("id"))
         else:
@@ -142,23 +214,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         centre = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
         centre = centre.where("x <> y").select("key", "c")
         pairs = now.join(centre, "key").where("root <> c.root").where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
-        pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        # A text tries one centre of each other component a turn: one link is enough to join them.
+        pairs = pairs.groupBy("id", "c.root").agg(F.min("c.id").alias("c"))
+        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        whole = turn - len(first_keys)
         if pairs.isEmpty():
-            break
+            if whole >= 0:
+                break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        one, two = spelt.select(F.col("id").alias("a"), F.col("s").alias("s")), spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
-        most = f"cast(floor({1 - similarity!r} * greatest(length(s), length(t)) + 1e-9) as int)"
-        found = pairs.join(one, "a").join(two, "b").where(F.expr(f"levenshtein(s, t, {most}) >= 0")).select("a", "b")
-        found = cut(found)
+        one, two = spelt.select(F.col("id").alias("a"), "s"), spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
+        found = cut(verified(pairs.join(one, "a").join(two, "b"), similarity).distinct())
+        release(docs.sparkSession)
         if found.isEmpty():
-            if turn >= 2:
+            if whole >= 1:
                 break
             continue
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        known = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(known)
 
     if roots is None:
         named = copies.select("digest", "copies", F.col("rep").alias("class"))
