@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.storage import cut, release
+from tidemark.storage import cut_counted, release, small
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,31 +15,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are absent. Self-loops and repeated edges are harmless; edges with a null end are left out.
     """
     now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    now = cut(now)
-    while not stars_only(now):
+    now, n = cut_counted(now)
+    while not stars_only(now, n):
         # Large star: every larger neighbour of a node moves to the node's least neighbour.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(small(least, n), both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: every smaller neighbour of a node, and the node, move to its least neighbour.
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(least, large.u == least.c)
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        joined = large.join(small(least, n), large.u == least.c)
+        moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        now, n = cut_counted(moved)
         release(edges.sparkSession)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stars.unionByName(roots)
 
 
-def stars_only(edges: DataFrame) -> bool:
+def stars_only(edges: DataFrame, rows: int) -> bool:
     """Whether every u has one v, and no v is a u: each component is a star around its smallest node."""
     above = edges.groupBy("u").agg(F.count("*").alias("n"))
     if not above.where("n > 1").isEmpty():
         return False
-    return edges.join(above.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
+    return edges.join(small(above.select(F.col("u").alias("w")), rows), F.col("v") == F.col("w"), "left_semi").isEmpty()
 
 
 def edge_keys(df: DataFrame, left: str, right: str) -> DataFrame:

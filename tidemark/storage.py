@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of pairs of numbers that one partition holds with ease, and that may be broadcast.
+FEW = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df cut and in as many partitions as its rows need, and their number: steps over few rows are then few tasks."""
+    kept = cut(df)
+    n = kept.count()
+    return kept.coalesce(max(1, -(-n // FEW))), n
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if its counted rows are few; joined as Spark sees fit otherwise."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
