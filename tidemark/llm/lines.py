@@ -79,7 +79,7 @@ def filters(docs: DataFrame, text: str, least: int, bits: int) -> np.ndarray:
     pages = docs.select(F.col(text).alias("text")).mapInPandas(fill, "page long, once binary, twice binary")
     merged = pages.repartition("page").sortWithinPartitions("page").mapInPandas(merge, "page long, twice binary")
     out = np.zeros((max(1, bits // 8 // PAGE), min(PAGE, bits // 8)), np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # at most bits / 8 bytes
         out[r.page] = np.frombuffer(r.twice, np.uint8)
     return out.reshape(-1)
 
