@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -164,6 +165,12 @@ class Encoder:
         return raw[start:end].decode("utf-8").isalpha() and raw[end : end + 4].decode("utf-8", "ignore")[:1].isalpha()
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str, chunk: int) -> Encoder:
+    """One encoder a worker process: it takes a second to build, more than many tasks."""
+    return Encoder(path, chunk)
+
+
 def encoded(text: Column, path: str, keep_ids: bool = False, chunk: int = 32768) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256[, ids]> of a text column; null counts as the empty text.
 
@@ -177,7 +184,7 @@ def encoded(text: Column, path: str, keep_ids: bool = False, chunk: int = 32768)
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = Encoder(path, chunk)
+        encoder = encoder_of(path, chunk)
         digits = [str(i) for i in range(len(encoder.length))]
 
         def row(text: str) -> tuple:

@@ -6,14 +6,25 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.graph import components
-from tidemark.storage import cut, release, scratch, stored
+from tidemark.storage import FEW, cut, cut_counted, release, scratch, small, stored
 
-__all__ = ["components", "cut", "release", "running", "scratch", "stored"]
+__all__ = ["FEW", "components", "cut", "cut_counted", "narrow", "release", "running", "scratch", "small", "stored"]
+
+
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
+BATCH = 500
+
+
+def narrow(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have at most BATCH rows, so that a Python worker's memory stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
 
 def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, release, stored
+from tidemark.llm.common import FEW, components, cut, cut_counted, release, small, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +37,7 @@ class Sketcher:
         from xxhash import xxh3_64_intdigest
 
         known = self.words
-        if len(known) > 1_000_000:  # memory is bounded; the cache only saves time
+        if len(known) > 100_000:  # memory is bounded; the cache only saves time
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxh3_64_intdigest(w.encode("utf-8", "replace"))
@@ -64,7 +64,10 @@ class Sketcher:
         for f in range(0, len(self.seeds), step):
             s = slice(f, f + step)
             v = (labelled[None, :] ^ self.seeds[s, None]) * self.odd[s, None]
-            low = np.argpartition(v, most - 1, axis=1)[:, :most] if n > most else np.tile(np.arange(n), (len(v), 1))
+            low, every = np.empty((len(v), most), np.int64), np.arange(len(v))
+            for c in range(most):  # a few minima are found faster one by one than by partition
+                low[:, c] = v.argmin(axis=1)
+                v[every, low[:, c]] = np.uint64(2**64 - 1)
             low.sort(axis=1)
             key = self.salt[s].copy()
             for c in range(most):
@@ -203,13 +206,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     spelt = stored(rows.join(wanted, "id", "left_semi").select("id", letters(F.col("text")).alias("s")).distinct(), "letters")
 
     tried = roots = None
+    n_tried = n_roots = 0
     for turn in count():
         # The first keys join most groups at the cost of one centre a text; all keys then see what is still apart.
         now = members.where(F.col("f") < first_keys[turn]) if turn < len(first_keys) else members
         if roots is None:
             now = now.withColumn("root", F.col("id"))
         else:
-            now = now.join(roots, now.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+            now = now.join(small(roots, n_roots), now.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
         order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
         centre = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
         centre = centre.where("x <> y").select("key", "c")
@@ -218,23 +222,29 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
         pairs = pairs.groupBy("id", "c.root").agg(F.min("c.id").alias("c"))
         pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+            pairs = pairs.join(small(tried, n_tried), ["a", "b"], "left_anti")
+        pairs, n = cut_counted(pairs)
         whole = turn - len(first_keys)
-        if pairs.isEmpty():
-            if whole >= 0:
+        if not n:
+            if whole >= 1:
                 break
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        one, two = spelt.select(F.col("id").alias("a"), "s"), spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
-        found = cut(verified(pairs.join(one, "a").join(two, "b"), similarity).distinct())
+        tried, n_tried = pairs if tried is None else tried.unionByName(pairs), n_tried + n
+        # Few pairs go to the letters' partitions, many are shuffled to them.
+        one = spelt.select(F.col("id").alias("a"), "s").join(small(pairs, n), "a")
+        two = spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
+        if n <= FEW:
+            two = two.join(small(pairs, n), "b")
+        both = one.join(two, ["a", "b"] if n <= FEW else "b")
+        found, m = cut_counted(verified(both, similarity).distinct())
         release(docs.sparkSession)
-        if found.isEmpty():
+        if not m:
             if whole >= 1:
                 break
             continue
         known = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(known)
+        n_roots += 2 * m  # at most
 
     if roots is None:
         named = copies.select("digest", "copies", F.col("rep").alias("class"))

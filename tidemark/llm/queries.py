@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, chat, language, lines, minhash, mix, pii, ranges, warc
+from tidemark.llm.common import narrow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    narrow(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
