@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tidemark.llm import lines, minhash
 
 
@@ -65,6 +67,29 @@ def test_repeated_rows_missing_ids_and_empty_tables(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_every_pair_of_a_hot_bucket_is_tried(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 40, raising=False)
+    rng, tool, texts = random.Random(12), minhash.Sketcher(functions=6), []
+    passage = words(rng, 60)
+    for _ in range(100):  # copies that share no five words but the passage's
+        own = words(rng, 40)
+        texts += [passage + own, passage + [w if i % 4 else "x" + w for i, w in enumerate(own)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.classes(df, functions=6).collect()}
+    meet = {i for i in range(0, 200, 2) if (tool.keys(texts[i]) == tool.keys(texts[i + 1])).any()}
+    assert len(meet) > 20 and all(got[i] == i and got[i + 1] == i + (i not in meet) for i in range(0, 200, 2))
+
+
+def test_bounded_distance_against_plain_edits():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 90))] for _ in range(2))
+        if rng.random() < 0.6:
+            b = [x for x in a if rng.random() < 0.9]
+        d = edits(a, b)
+        assert [minhash.banded(np.array(a, int), np.array(b, int), most) for most in (d - 1, d, d + 1)] == [False, True, True]
+
+
 def test_order_matters_to_the_sketch():
     rng = random.Random(9)
     tool, a = minhash.Sketcher(), words(rng, 300)

@@ -1,4 +1,4 @@
-"""Near-duplicates by Order MinHash: minimum occurrence-labelled word 5-mers in text order, verified by banded alignment."""
+"""Near-duplicates by Order MinHash: minimum occurrence-labelled word 5-mers in text order, verified by alignment."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import FEW, components, cut, cut_counted, release, small, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of either side of a block in which all pairs are compared, and cells of the word counts that rule pairs out, few first.
+BLOCK, CELLS = 1000, (128, 1024)
+#: Centres are given up when fewer than one in so many of their pairs align; the blocks then see all that is left.
+FEWER = 50
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -136,31 +140,34 @@ def at_most(a: np.ndarray, b: np.ndarray, grams: int = 3) -> int:
 
 
 def banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the edit distance is at most `most`, by rows of the diagonals that far from the main one."""
-    n, m, far = len(a), len(b), np.int64(1 << 40)
+    """Whether the edit distance is at most `most`: columns as bits of whole numbers (Myers), up to where it can't be any more."""
+    n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
-    width = np.arange(2 * most + 1)
-    padded = np.full(max(n, m) + 2 * most + 2, -1, np.int64)  # column j of row i is at j - i + most of the band
-    padded[most + 1 : most + 1 + m] = b
-    row = np.where(width >= most, width - most, far)
-    for i in range(1, n + 1):
-        best = row + (padded[i : i + 2 * most + 1] != a[i - 1])
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        if i <= most:
-            best[most - i] = min(best[most - i], i)
-            best[: most - i] = far
-        row = np.minimum.accumulate(best - width) + width
-        if row.min() > most:
+    if not n:
+        return True
+    where: dict[int, int] = {}
+    for i, c in enumerate(a.tolist()):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << n) - 1, n - 1
+    up, down, score = full, 0, n
+    for left, c in zip(range(m - 1, -1, -1), b.tolist()):
+        same = where.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | full & ~(across | up), up & across
+        score += (more >> last & 1) - (less >> last & 1)
+        if score - left > most:
             return False
-    return bool(row[m - n + most] <= most)
+        more, less, same = more << 1 | 1, less << 1, same | down
+        up, down = (less | ~(same | more)) & full, more & same & full
+    return score <= most
 
 
 def aligns(s: str, t: str, similarity: float) -> bool:
     """Whether two texts' letters align with at most (1 - similarity) x the longer length of edits.
 
     Words that the other text lacks are edits, so too many of them settle it, and so does an alignment along shared runs that
-    is good enough; only what is left needs the band.
+    is good enough; only what is left needs the distance.
     """
     a, b = (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in (s, t))
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
@@ -182,15 +189,111 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "s", "t").mapInPandas(check, "a long, b long")
 
 
+def links(block: pd.DataFrame, similarity: float, up: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Pairs (a, b) of a left and a right row that align, enough to join all roots that aligned pairs join; `up` is their forest.
+
+    A pair is looked at in the bucket of the first key that it shares. Lengths and word counts by cell rule most pairs out: an
+    edit changes two cells by one at most.
+    """
+
+    def top(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    def cells(rows: pd.DataFrame, many: int) -> np.ndarray:
+        got = np.empty((len(rows), many), np.int16)
+        for i, s in enumerate(rows["s"]):
+            got[i] = np.minimum(np.bincount(np.frombuffer(s.encode("utf-32-le"), "<u4") % many, minlength=many), 255)
+        return got
+
+    x, y = block[block["is_left"]], block[~block["is_left"]]
+    if x.empty or y.empty:
+        return
+    counts = [(cells(x, many), cells(y, many)) for many in CELLS]
+    ids, n, roots, twice, texts = (y[c].to_numpy() for c in ("id", "n", "root", "is_twice", "s"))
+    keys, function = np.stack(y["keys"].to_numpy()), int(block["f"].iloc[0])
+    for i, row in enumerate(x.itertuples()):
+        own = top(row.root)
+        most, gap = ((1 - similarity) * np.maximum(n, row.n) + 1e-9).astype(np.int64), np.abs(n - row.n)
+        at = np.flatnonzero((roots != row.root) & (gap <= most) & (~twice | (ids > row.id)))
+        for p, q in counts:
+            at = at[np.abs(q[at] - p[i]).sum(axis=1) + gap[at] <= 2 * most[at]]
+        if len(at):
+            at = at[(keys[at] == np.asarray(row.keys)).argmax(axis=1) == function]
+        for j in at:
+            other = top(int(roots[j]))
+            if own != other and aligns(row.s, texts[j], similarity):
+                up[max(own, other)] = min(own, other)
+                own = min(own, other)
+                yield min(row.id, int(ids[j])), max(row.id, int(ids[j]))
+
+
+def apart(now: DataFrame, reps: DataFrame, spelt: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that align, enough to join all roots of now(key, f, id, n, root) that any aligned pair of a bucket joins.
+
+    The members outside a bucket's largest component meet all members, in a grid of blocks; a block has about BLOCK rows
+    a side at most, so a bucket of any size is many tasks, and no pair is left out.
+    """
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("in"))
+    mixed_ = sizes.groupBy("key").agg(F.sum("in").alias("all"), F.max(F.struct("in", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    grid = {"rows": F.col("all") - F.col("top.in"), "columns": F.col("all")}
+    mixed_ = mixed_.select("key", F.col("top.root").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(a) for a, c in grid.items()])
+    some = stored(now.join(mixed_, "key"), "apart")
+    texts = spelt.join(some.select("id").distinct(), "id", "left_semi").join(reps.select("id", "keys"), "id")
+    every = some.join(texts, "id")
+    place = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    span = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    twice = F.col("root") != F.col("top")
+    own = ["f", "id", "n", "root", "keys", "s"]
+    one = every.where(twice).select("key", place("rows").alias("i"), span("columns").alias("j"), *own, F.lit(True).alias("is_left"), F.lit(True).alias("is_twice"))
+    two = every.select("key", span("rows").alias("i"), place("columns").alias("j"), *own, F.lit(False).alias("is_left"), twice.alias("is_twice"))
+    at = ["key", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[int, int] = {}
+
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
+            block = rows[at].to_numpy()
+            ends = [0, *(np.flatnonzero((block[1:] != block[:-1]).any(axis=1)) + 1), len(rows)]
+            return pd.DataFrame([p for s, e in zip(ends, ends[1:]) for p in links(rows.iloc[s:e], similarity, up)], columns=["a", "b"], dtype="int64")
+
+        held: list[pd.DataFrame] = []  # the last block may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and (pdf[at].iloc[-1] == held[0][at].iloc[0]).all():
+                held.append(pdf)
+                continue
+            rows = pd.concat([*held, pdf], ignore_index=True)
+            last = int((rows[at] == rows[at].iloc[-1]).all(axis=1).to_numpy().argmax())
+            yield found(rows.iloc[:last])
+            held = [rows.iloc[last:]]
+        if held:
+            yield found(pd.concat(held, ignore_index=True))
+
+    return one.unionByName(two).repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a long, b long").distinct()
+
+
+def linked(pairs: DataFrame, n: int, spelt: DataFrame, similarity: float) -> tuple[DataFrame, int]:
+    """The n pairs (a, b) whose letters align, and their number."""
+    # Few pairs go to the letters' partitions, many are shuffled to them.
+    one = spelt.select(F.col("id").alias("a"), "s").join(small(pairs, n), "a")
+    two = spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
+    if n <= FEW:
+        two = two.join(small(pairs, n), "b")
+    both = one.join(two, ["a", "b"] if n <= FEW else "b")
+    return cut_counted(verified(both, similarity).distinct())
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, k: int = 5, least: int = 3,
             functions: int = 32, first_keys: tuple[int, ...] = (1, 4)) -> DataFrame:
     """(doc_id, class_id, n_copies): one row a distinct id; the class is named by its smallest id.
 
     Equal texts are copies and are sketched on as one; n_copies counts a text's distinct ids. Texts that share a key
-    are candidates, and are linked if their words align with at most (1 - similarity) x the longer length of edits, by an
-    alignment banded to that many diagonals; classes are the connected components. Within a key's bucket every text is
-    aligned with a centre, never with all others; while links are found, buckets that still hold several components
-    choose other centres. Null counts as empty, and empty texts are copies of each other; under k words the whole text
+    are candidates, and are linked if their words align with at most (1 - similarity) x the longer length of edits; classes
+    are the connected components. Within a key's bucket every text is first aligned with a centre; while links are found,
+    buckets that still hold several components choose other centres, and then all pairs that are still apart are compared. Null counts as empty, and empty texts are copies of each other; under k words the whole text
     is the one k-mer. Rows without an id are left out; rows that share an id share its class.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -207,13 +310,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
     tried = roots = None
     n_tried = n_roots = 0
+    def rooted(some: DataFrame) -> DataFrame:
+        if roots is None:
+            return some.withColumn("root", F.col("id"))
+        return some.join(small(roots, n_roots), some.id == roots.node, "left").select("key", "f", "id", "n", F.coalesce("root", "id").alias("root"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     for turn in count():
         # The first keys join most groups at the cost of one centre a text; all keys then see what is still apart.
         now = members.where(F.col("f") < first_keys[turn]) if turn < len(first_keys) else members
-        if roots is None:
-            now = now.withColumn("root", F.col("id"))
-        else:
-            now = now.join(small(roots, n_roots), now.id == roots.node, "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+        now = rooted(now)
         order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
         centre = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
         centre = centre.where("x <> y").select("key", "c")
@@ -230,21 +338,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
                 break
             continue
         tried, n_tried = pairs if tried is None else tried.unionByName(pairs), n_tried + n
-        # Few pairs go to the letters' partitions, many are shuffled to them.
-        one = spelt.select(F.col("id").alias("a"), "s").join(small(pairs, n), "a")
-        two = spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
-        if n <= FEW:
-            two = two.join(small(pairs, n), "b")
-        both = one.join(two, ["a", "b"] if n <= FEW else "b")
-        found, m = cut_counted(verified(both, similarity).distinct())
+        found, m = linked(pairs, n, spelt, similarity)
         release(docs.sparkSession)
         if not m:
             if whole >= 1:
                 break
             continue
-        known = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(known)
+        roots = joined(found)
         n_roots += 2 * m  # at most
+        if whole >= 0 and m * FEWER < n:
+            break
+
+    # What centres left: all pairs of different components in a bucket.
+    found, m = cut_counted(apart(rooted(members).select("key", "f", "id", "n", "root"), reps, spelt, similarity))
+    if m:
+        roots = joined(found)
+    release(docs.sparkSession)
 
     if roots is None:
         named = copies.select("digest", "copies", F.col("rep").alias("class"))
