@@ -84,6 +84,14 @@ def test_checksums_context_and_masks(spark):
     assert [r.text for r in pii.masked(df).orderBy("doc_id").collect()][5] == "mail <EMAIL>, phone <PHONE>"
 
 
+def test_account_numbers_before_and_after_other_words(spark):
+    de, no, gb = "DE89370400440532013000", "NO9386011117947", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{de} BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00 EUR 500", f"{de} I think", f"{no} {no} {gb}", f"AB12 {de} OK", f"é🙂 {gb} A1", f"{de[:-1]}1 BIC", f"x{de} I", f"{de}I A"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.detect(df).collect()}
+    assert got == {0: [de], 1: ["DE89 3704 0044 0532 0130 00"], 2: [de], 3: [no, no, gb], 4: [de], 5: [gb], 6: [], 7: [], 8: []}
+
+
 def test_personal_data_plan_is_native(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     plan = pii.detect(df)._jdf.queryExecution().executedPlan().toString()

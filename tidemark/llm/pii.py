@@ -26,9 +26,10 @@ class Kind:
     hint: str | None = None  # a literal that every match holds
     needs_words: bool = False
     base: bool = True
+    prefixes: bool = False  # the pattern takes a match's beginning and has the longest match as group 1; see `longest`
 
 
-#: The patterns match what the plain ones match. Possessive quantifiers and run starts keep them linear on hostile texts: a
+#: The patterns match what the plain ones match, but account numbers are tried at every beginning. Possessive quantifiers and run starts keep them linear on hostile texts: a
 #: run that fails at its first character fails at every later one.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -36,8 +37,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0.6, "ip|host|server|address|client", "."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9])+", 0.7, "card|visa|credit|debit|pay|mastercard"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "tel|phone|call|mobile|fax|whatsapp", "+"),
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 0.8,
-         "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", r"\b(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b))[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 0.8,
+         "iban|bank|account|konto|compte|cuenta", base=False, prefixes=True),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.3, "ssn|social|security", "-", True, False),
 )
 #: A part of an address: at most 255, leading zeros allowed.
@@ -85,21 +86,49 @@ def confirmed(kind: Kind, value: Column) -> Column:
     return F.lit(True)
 
 
+def longest(kind: Kind, value: Column) -> Column:
+    """The longest confirmed part of a match from its beginning to a blank or its end; empty if there is none.
+
+    Words after a number can look like more of it, so the whole match failing says nothing of its parts.
+    """
+    words = F.split(value, " ")
+    parts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    fine = F.filter(parts, lambda x: x.rlike(rf"^(?:{kind.plain})\z") & confirmed(kind, x))
+    return F.coalesce(F.get(fine, F.lit(0)), F.lit(""))
+
+
+def apart(spans: Column) -> Column:
+    """The spans (start, end, value) of values by start that aren't empty and begin after the one kept before has ended."""
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["start"] + F.length(x["value"])
+        own = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["value"].alias("value")))
+        keep = (x["value"] != "") & (x["start"] >= acc["at"])
+        return F.struct(F.when(keep, end).otherwise(acc["at"]).alias("at"), F.when(keep, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+
+
 def found(text: Column, order: int, kind: Kind) -> Column:
     """array<struct<start, ord, end, kind, score>> of one kind's confirmed matches in a text that isn't null."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.prefixes else 0))
     if kind.hint:
         matches = F.when(text.contains(kind.hint), matches).otherwise(F.array().cast("array<string>"))
     pairs = F.arrays_zip(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
 
     def place(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
+        end = start + (F.lit(4) if kind.prefixes else F.length(x["m"]))
         own = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
     placed = F.aggregate(pairs, zero, place, lambda acc: acc["out"])
+    if kind.prefixes:
+        placed = apart(F.transform(placed, lambda x: F.struct(x["start"].alias("start"), longest(kind, x["value"]).alias("value"))))
+    else:
+        placed = F.filter(placed, lambda x: confirmed(kind, x["value"]))
 
     def scored(x: Column) -> Column:
         first = F.greatest(x["start"] - NEAR, F.lit(0))
@@ -109,7 +138,7 @@ def found(text: Column, order: int, kind: Kind) -> Column:
         score = F.lit(kind.score) + F.when(near, BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 3).alias("score"))
 
-    spans = F.transform(F.filter(placed, lambda x: confirmed(kind, x["value"])), scored)
+    spans = F.transform(placed, scored)
     if kind.needs_words:
         spans = F.filter(spans, lambda x: x["score"] >= ACCEPT)
     return F.when(F.size(matches) > 0, spans).otherwise(F.array()).cast(SPAN)
