@@ -48,3 +48,26 @@ def test_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_evidence_of_all_documents_against_brute_force(spark):
+    from tidemark.plans.series import labelled_evidence
+
+    sf = "/root/testdata/sf0.01"
+    pairs = {(*sorted((r.a, r.b)), r.state) for r in labelled_evidence(spark, sf).collect()}
+    states = {s: {(a, b) for a, b, t in pairs if t == s} for s in ("exact", "confirmed", "rejected")}
+    assert all(max(b for _, b in states[s]) > 900 and sum(a >= 200 for a, _ in states[s]) > 20 for s in states)
+    up = {}
+
+    def top(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    for a, b in (states["exact"] | states["confirmed"]) - states["rejected"]:
+        x, y = sorted((top(a), top(b)))
+        if x != y:
+            up[y] = x
+    got = {r.node: r.group_id for r in QUERIES["evidence_components"](spark, sf).collect()}
+    assert len(got) == 1000 and all(g == top(n) for n, g in got.items())
+    assert sum(top(a) != top(b) for a, b in states["rejected"]) > 20

@@ -255,6 +255,30 @@ def sensitivity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dependency_groups(nodes, evidence(spark, sf_dir), "doc_id", "a", "b", "state", ["exact", "confirmed"], "rejected")
 
 
+NEXT = """n AS (SELECT a, b, p.quality <> q.quality AS no FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY lang, source, n_chars // 500 ORDER BY doc_id) AS b FROM documents) d
+LEFT JOIN labels p ON p.doc_id = a LEFT JOIN labels q ON q.doc_id = b WHERE b IS NOT NULL)"""
+
+
+def labelled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document pairs with states, from all documents: equal contents; neighbours of a language, source and length class are
+    confirmed, and those with unlike quality labels are rejected as well."""
+    same = G.star_edges(occurrences(spark, sf_dir), "doc_id", "content_id").withColumn("state", F.lit("exact"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 500).alias("length"))
+    near = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("lang", "source", "length").orderBy("doc_id")).alias("b")).where("b is not null")
+    labels = table(spark, sf_dir, "labels")
+    p, q = (labels.select(F.col("doc_id").alias(c), F.col("quality").alias(f"q{c}")) for c in "ab")
+    no = near.join(p, "a").join(q, "b").where("qa <> qb").select("a", "b", F.lit("rejected").alias("state"))
+    return same.unionByName(near.withColumn("state", F.lit("confirmed"))).unionByName(no)
+
+
+@catalogue.add(f"""WITH RECURSIVE {OCC}, {NEXT}, s AS (SELECT content_id, min(doc_id) AS m FROM occ GROUP BY 1), k AS (SELECT m AS a, doc_id AS b FROM occ JOIN s USING (content_id) WHERE doc_id <> m UNION SELECT a, b FROM n),
+e AS (SELECT a, b FROM k EXCEPT SELECT a, b FROM n WHERE no), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT doc_id AS n, doc_id AS r FROM occ UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.n), g AS (SELECT n, min(r) AS group_id FROM w GROUP BY 1)
+SELECT n AS node, group_id, count(*) OVER (PARTITION BY group_id) AS members FROM g""")
+def evidence_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = occurrences(spark, sf_dir).select("doc_id")
+    return G.dependency_groups(nodes, labelled_evidence(spark, sf_dir), "doc_id", "a", "b", "state", ["exact", "confirmed"], "rejected")
+
+
 @catalogue.add("""SELECT lang AS stratum, source AS grp, GROUPING(lang, source) AS grain, count(*) AS total, count(quality) AS decided, round(count(quality) / count(*), 6) AS rate
 FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))""")
 def review_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
