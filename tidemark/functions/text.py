@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 #: Kinds of archive members by extension (fixed values).
 KINDS = {
-    "image": ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp"],
-    "video": ["mp4", "avi", "mov", "mkv"],
-    "model": ["pt", "pth", "onnx", "h5"],
-    "archive": ["zip", "tar", "gz", "7z", "rar"],
-    "config": ["yaml", "yml", "json", "toml", "ini", "cfg"],
-    "metadata": ["csv", "parquet", "xml", "md"],
-    "label": ["txt"],
+    "image": [".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp"],
+    "label": [".txt"],
+    "video": [".mp4", ".mov", ".avi", ".mkv"],
+    "model": [".pt", ".pth", ".ckpt", ".onnx"],
+    "archive": [".zip", ".tar", ".gz", ".tgz", ".rar", ".7z"],
+    "config": [".yaml", ".yml", ".json", ".toml", ".ini", ".cfg"],
+    "metadata": [".csv", ".md", ".xml", ".log"],
 }
+#: Words of a member's path that say what it holds (fixed values).
+CONCEPTS = ["train", "training", "val", "validation", "test", "images", "imagenes", "labels", "etiquetas", "video", "videos"]
 #: Names that a portable path may not have on some system (fixed values).
 RESERVED = ["con", "prn", "aux", "nul", *[f"{p}{i}" for p in ("com", "lpt") for i in range(1, 10)]]
 
@@ -41,11 +43,16 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.element_at(F.split(forward(path), "/"), -1), r".\.([A-Za-z0-9]+)$", 1))
 
 
+def suffix(path: Column) -> Column:
+    """The last segment's extension in lower case with its dot; empty for a leading or final dot alone."""
+    return F.lower(F.regexp_extract(F.element_at(F.split(forward(path), "/"), -1), r".(\.[^.]+)$", 1))
+
+
 def member_kind(path: Column) -> Column:
     """What a member is by its extension: one of KINDS, or other."""
     out = F.lit("other")
     for kind, names in reversed(KINDS.items()):
-        out = F.when(extension(path).isin(names), kind).otherwise(out)
+        out = F.when(suffix(path).isin(names), kind).otherwise(out)
     return out
 
 
@@ -58,10 +65,10 @@ def split_of(path: Column, folders: dict[str, list[str]]) -> Column:
     return out
 
 
-def concepts(path: Column, vocabulary: list[str]) -> Column:
-    """Words of the vocabulary among a path's tokens, in the vocabulary's order, joined by |."""
-    tokens = F.split(F.lower(path), r"[^a-z0-9]+")
-    return F.array_join(F.filter(F.array(*[F.lit(w) for w in vocabulary]), lambda w: F.array_contains(tokens, w)), "|")
+def concepts(path: Column, vocabulary: list[str] = CONCEPTS) -> Column:
+    """Words of the vocabulary among a path's tokens (between / _ . - and blanks), in the vocabulary's order, joined by commas."""
+    tokens = F.split(F.lower(path), r"[/_. -]+")
+    return F.array_join(F.filter(F.array(*[F.lit(w) for w in vocabulary]), lambda w: F.array_contains(tokens, w)), ",")
 
 
 def portable(path: Column) -> Column:
@@ -140,3 +147,56 @@ def label_boxes(text: Column, classes: int = 5, slack: float = 0.01) -> Column:
         F.array_sort(boxes), lambda r: F.concat_ws(" ", r["c"].cast("string"), *[F.format_string("%.10f", r[k]) for k in ("x", "y", "w", "h")])
     )
     return F.struct(boxes.alias("boxes"), issues.alias("issues"), F.array_join(shown, "\n").alias("canonical"))
+
+
+def sorted_boxes(text: Column) -> Column:
+    """The boxes <c, x, y, w, h> of a label file's text in order: what its annotation is, whatever the order of its lines."""
+    return F.array_sort(F.transform(F.filter(checked_lines(text), lambda r: r["box"]), lambda r: F.struct(*[r[k].alias(k) for k in "cxywh"])))
+
+
+def checked_lines(text: Column) -> Column:
+    """The lines of a label file's text with their numbers and what is wrong with each: box, off, slight, out; see label_report."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\\n\\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+    def parsed(f: Column) -> Column:
+        fine = (F.size(f) == 5) & F.get(f, F.lit(0)).rlike(r"^\+?[0-9]+$|^-0+$") & F.forall(F.slice(f, 2, 4), lambda v: v.rlike(number))
+        value = lambda i: F.when(fine, F.get(f, F.lit(i)).try_cast("double"))
+        return F.struct(F.when(fine, F.get(f, F.lit(0)).try_cast("long")).alias("c"), *[value(i).alias(k) for i, k in enumerate("xywh", 1)])
+
+    def checked(r: Column) -> Column:
+        c, x, y, w, h = (r[k] for k in "cxywh")
+        box = c.isNotNull() & F.forall(F.array(x, y, w, h), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+        low, high = F.least(x - w / 2, y - h / 2), F.greatest(x + w / 2, y + h / 2)
+        normal = x.between(0, 1) & y.between(0, 1) & (w > 0) & (w <= 1) & (h > 0) & (h <= 1)
+        outside, slight = box & ~((low >= 0) & (high <= 1)), (low >= -0.01) & (high <= 1.01)
+        return F.struct(*[r[k].alias(k) for k in "cxywh"], box.alias("box"), (box & ~normal).alias("off"), (outside & slight).alias("slight"), (outside & ~slight).alias("out"))
+
+    return F.transform(F.transform(F.transform(lines, lambda s: F.split(s, " ")), parsed), checked)
+
+
+def label_report(text: Column) -> Column:
+    """struct<label_empty, syntax_valid, normalized_valid, geometry_valid, label_valid, num_objects, n_errors, n_warnings, classes,
+    area_mean, area_min, area_max, width_mean, height_mean> of a label file's text, without changing it.
+
+    A line of five fields, a class that is no negative integer and finite numbers is a box, whatever its values: centres outside
+    0..1 or sizes outside (0, 1] break normalization, edges outside the image break geometry (a warning within 0.01, else an
+    error). Other lines break the syntax and are no boxes. No lines but blank ones is an empty, valid label.
+    """
+    def report(rows: Column) -> Column:
+        boxes = F.filter(rows, lambda r: r["box"])
+        some = lambda k: F.exists(rows, lambda r: r[k])
+        many = lambda test: F.size(F.filter(rows, test))
+        syntax, normal, geometry = F.forall(rows, lambda r: r["box"]), ~some("off"), ~some("slight") & ~some("out")
+        areas = F.transform(boxes, lambda r: r["w"] * r["h"])
+        mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, v: s + v) / F.size(xs))
+        errors = many(lambda r: ~r["box"]) + many(lambda r: r["off"]) + many(lambda r: r["out"])
+        return F.struct(
+            (F.size(rows) == 0).alias("label_empty"), syntax.alias("syntax_valid"), normal.alias("normalized_valid"), geometry.alias("geometry_valid"),
+            (syntax & normal & geometry).alias("label_valid"), F.size(boxes).alias("num_objects"), errors.alias("n_errors"), many(lambda r: r["slight"]).alias("n_warnings"),
+            F.array_join(F.array_sort(F.array_distinct(F.transform(boxes, lambda r: r["c"]))), ",").alias("classes"),
+            mean(areas).alias("area_mean"), F.array_min(areas).alias("area_min"), F.array_max(areas).alias("area_max"),
+            mean(F.transform(boxes, lambda r: r["w"])).alias("width_mean"), mean(F.transform(boxes, lambda r: r["h"])).alias("height_mean"),
+        )
+
+    return F.get(F.transform(F.array(checked_lines(text)), report), F.lit(0))  # binds the lines once

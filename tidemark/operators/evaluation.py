@@ -2,44 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import pearson
+from tidemark.functions.stats import pearson, running
+from tidemark.storage import cut
+
+
+#: The overlaps at which a detection counts as a hit, for a mean over thresholds.
+OVERLAPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
 def precision_recall(detections: DataFrame, cls: str, confidence: str, hit: str, tie: str, support: DataFrame) -> DataFrame:
     """Detections with running recall and precision: by class, highest confidence first, ties by `tie`."""
-    w = Window.partitionBy(cls).orderBy(F.desc(confidence), tie).rowsBetween(Window.unboundedPreceding, 0)
-    ran = detections.withColumns({"tp": F.sum(F.col(hit).cast("long")).over(w), "n": F.count("*").over(w)})
+    ran = running(detections, [cls], [F.desc(confidence), F.col(tie)], {"tp": F.col(hit).cast("int"), "n": F.lit(1)})
     known = ran.join(support, cls)
     return known.withColumns({"recall": F.col("tp") / F.col("support"), "precision": F.col("tp") / F.col("n")})
 
 
 def average_precision(curve: DataFrame, cls: str, support: DataFrame, points: int = 101) -> DataFrame:
-    """(class, support, ap): the mean over `points` recalls from 0 to 1 of the monotone envelope of precision, linear
-    between the curve's recalls, from (0, 1) to (1, 0) after the last; null without support, 0 without detections.
+    """(class, support, ap) of a precision_recall table: see interpolated; null without support, 0 without detections."""
+    hits = curve.groupBy(cls, F.col("tp").alias("k")).agg(F.min("n").alias("n")).where("k > 0")
+    totals = support.join(curve.groupBy(cls).agg(F.max("n").alias("total")), cls, "left")
+    return interpolated(hits, totals, [cls], points).select(cls, "support", "ap")
+
 
-    The curve is first reduced to one row a recall (at most one a hit), then each grid point takes the two around it.
+def interpolated(hits: DataFrame, totals: DataFrame, keys: list[str], points: int = 101) -> DataFrame:
+    """totals(keys, support, total) with `ap`, from the hits (keys, k, n): the k-th hit is the n-th detection.
+
+    The trapezoid integral over `points` recalls from 0 to 1 of the curve's monotone envelope, linear between its points, which
+    begins at (0, 1) and closes at (1, 0). At a recall that several detections share, the last of them counts, and the way to the
+    next recall ends at its first. Only the best precision between neighbouring grid points and the hits next to them are
+    kept, so a class's rows are aggregated and never sorted.
+    """
+    step, last = 1.0 / (points - 1), points - 1
+    known = totals.withColumn("total", F.coalesce("total", F.lit(0)))
+    grid = known.where("support > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("x", F.when(F.col("i") == last, 1.0).otherwise(F.col("i") * F.lit(step)))
+    near = F.floor(F.col("x") * F.col("support"))
+    level = F.when((near + 1) / F.col("support") <= F.col("x"), near + 1).when(near / F.col("support") > F.col("x"), near - 1).otherwise(near)
+    found = hits.groupBy(*keys).agg(F.max("k").cast("long").alias("found"))
+    grid = grid.join(found, keys, "left").fillna(0, ["found"]).withColumn("at", F.least(level.cast("long"), F.col("found"))).withColumn("k", F.col("at") + 1)
+    # Between which grid points a hit's recall lies: the last one below it.
+    scaled = hits.withColumn("k", F.col("k").cast("long")).join(totals.select(*keys, "support"), keys).where("support > 0")
+    recall, below = F.col("k") / F.col("support"), F.ceil(F.col("k") / F.col("support") * last) - 1
+    cell = F.when((below + 1) * F.lit(step) < recall, below + 1).when(below * F.lit(step) >= recall, below - 1).otherwise(below)
+    best = scaled.groupBy(*keys, F.least(cell, F.lit(last)).cast("int").alias("i")).agg(F.max(F.col("k") / F.col("n")).alias("p"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)  # one row a grid point
+    grid = grid.join(best, [*keys, "i"], "left").withColumn("next_p", F.max("p").over(after))
+    grid = grid.join(scaled.select(*keys, "k", "n"), [*keys, "k"], "left")
+    here = (
+        F.when(F.col("n").isNull(), F.when(F.col("at") > 0, F.col("at") / F.col("total")).otherwise(0.0))
+        .when((F.col("at") == 0) & (F.col("n") == 1), 1.0)
+        .otherwise(F.greatest(F.when(F.col("at") > 0, F.col("at") / (F.col("n") - 1)).otherwise(0.0), "next_p"))
+    )
+    r0 = F.col("at") / F.col("support")
+    r1 = F.when(F.col("n").isNull(), 1.0).otherwise((F.col("at") + 1) / F.col("support"))
+    slope = (F.coalesce("next_p", F.lit(0.0)) - F.col("here")) / (r1 - r0)
+    value = F.when(F.col("i") == last, 0.0).when(F.col("x") == r0, F.col("here")).otherwise(F.col("here") + slope * (F.col("x") - r0))
+    weight = F.when(F.col("i").isin(0, last), 0.5).otherwise(1.0)
+    area = grid.withColumn("here", here).groupBy(*keys).agg((F.sum(value * weight) * step).alias("ap"))
+    return known.join(area, keys, "left").withColumn("ap", F.when(F.col("support") > 0, F.coalesce("ap", F.lit(0.0))))
+
+
+def mean_average_precision(detections: DataFrame, cls: str, confidence: str, overlap: str, tie: str, support: DataFrame, overlaps: list[float] = OVERLAPS) -> DataFrame:
+    """(class, support, map50, map50_95): average precision at the first overlap, and its mean over all of them.
+
+    A detection is a hit at each threshold that its overlap reaches. One running pass counts all thresholds' hits.
     """
-    steps = curve.groupBy(cls, "recall").agg(F.max("precision").alias("p"))
-    after = Window.partitionBy(cls).orderBy("recall").rowsBetween(0, Window.unboundedFollowing)
-    envelope = steps.withColumn("p", F.max("p").over(after))
-    ends = support.where("support > 0").select(cls)
-    last = envelope.groupBy(cls).agg(F.max("recall").alias("top"), F.max("p").alias("best"))
-    start = ends.join(last, cls, "left").select(cls, F.lit(0.0).alias("recall"), F.lit(1.0).alias("p"), F.coalesce("best", F.lit(0.0)).alias("e"))
-    body = envelope.select(cls, "recall", "p", F.col("p").alias("e"))
-    stop = ends.join(last, cls, "left").select(cls, F.lit(1.0).alias("recall"), F.lit(0.0).alias("p"), F.lit(0.0).alias("e"))
-    full = start.unionByName(body).unionByName(stop).groupBy(cls, "recall").agg(F.max("e").alias("e"))
-    nxt = Window.partitionBy(cls).orderBy("recall")
-    pieces = full.withColumns({"r2": F.lead("recall").over(nxt), "e2": F.lead("e").over(nxt)})
-    top = points - 1
-    steps = F.sequence(F.floor(F.col("recall") * top).cast("int"), F.coalesce(F.ceil(F.col("r2") * top).cast("int"), F.lit(top)))
-    on_grid = pieces.withColumn("x", F.explode(steps)).withColumn("x", F.col("x") / top)  # a piece meets its own grid points
-    on_grid = on_grid.where((F.col("x") >= F.col("recall")) & (F.col("r2").isNull() | (F.col("x") < F.col("r2"))))
-    value = F.when(F.col("r2").isNull(), F.col("e")).otherwise(F.col("e") + (F.col("e2") - F.col("e")) * (F.col("x") - F.col("recall")) / (F.col("r2") - F.col("recall")))
-    each = on_grid.groupBy(cls).agg(F.avg(value).alias("ap"))
-    return support.join(each, cls, "left").select(cls, "support", F.when(F.col("support") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+    hit = [F.coalesce(F.col(overlap) >= t, F.lit(False)) for t in overlaps]
+    sums = {"n": F.lit(1)} | {f"tp{i}": h.cast("int") for i, h in enumerate(hit)}
+    ran = running(detections.select(cls, confidence, overlap, tie), [cls], [F.desc(confidence), F.col(tie)], sums)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"tp{i}").alias("k"), h.alias("hit")) for i, h in enumerate(hit)]))
+    hits = ran.select(cls, "n", each.alias("h")).select(cls, "h.t", "h.k", "n", "h.hit").where("hit").drop("hit")
+    total = detections.groupBy(cls).agg(F.count("*").alias("total"))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(overlaps) - 1))).alias("t")
+    totals = support.join(total, cls, "left").select(cls, "support", "total", steps)
+    got = interpolated(hits, totals, [cls, "t"])
+    first = F.max(F.when(F.col("t") == 0, F.col("ap")))
+    return got.groupBy(cls, "support").agg(first.alias("map50"), F.avg("ap").alias("map50_95"))
 
 
 def macro(per_class: DataFrame, value: str) -> DataFrame:
@@ -85,9 +129,27 @@ def centered_correlation(df: DataFrame, strategy: str, x: str, y: str) -> Column
 
 def pareto(df: DataFrame, key: str, high: list[str], low: list[str]) -> DataFrame:
     """Rows that no other row dominates: at least as good in every criterion and better in one. Rows that lack a criterion
-    are left out. A candidate table has one row a run, so the theta anti join stays small."""
+    are left out. Each task first drops the rows that its own rows dominate; what is left of all tasks is compared in pairs,
+    so the work grows with the fronts and not with the table."""
     rows = df.where(" and ".join(f"{c} is not null" for c in [*high, *low]))
-    other = rows.select(*[F.col(c).alias(f"__{c}") for c in [*high, *low]])
+
+    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            x = np.concatenate([held[high].to_numpy(float), -held[low].to_numpy(float)], axis=1)
+            order = np.argsort(-x.sum(axis=1), kind="stable")  # a row is dominated by rows of larger sums only
+            keep: list[int] = []
+            for i in order.tolist():
+                over = x[keep]
+                if not ((over >= x[i]).all(axis=1) & (over > x[i]).any(axis=1)).any():
+                    keep.append(i)
+            held = held.iloc[sorted(keep)]
+        if held is not None:
+            yield held
+
+    rows = cut(rows.mapInPandas(front, rows.schema))
+    other = rows.select(*[F.col(c).alias(f"__{c}") for c in [*high, *low]]).distinct()
     as_good = F.lit(True)
     better = F.lit(False)
     for c in high:

@@ -2,44 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.storage import cut_counted, release, small
+from tidemark.operators.joins import spread_join
+from tidemark.storage import cut_counted, release
+
+#: Edges that a task reduces to their forest at once.
+LOT = 500_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the edges (a, b) without their roots' own rows; a root is the smallest node of its tree."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, p, q = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while True:
+        x, y = root[p], root[q]
+        apart = x != y
+        if not apart.any():
+            break
+        p, q, x, y = p[apart], q[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def local_forests(edges: DataFrame) -> DataFrame:
+    """Stars (v, u) that join what the edges (v, u) of each partition join, made in lots, so that a task's memory is bounded."""
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def stars() -> pd.DataFrame:
+            u, v = forest(*(np.concatenate([x[c].to_numpy() for x in held]) for c in "uv"))
+            return pd.DataFrame({"v": v, "u": u})
+
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n >= LOT:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return edges.select("v", "u").mapInPandas(reduce, "v long, u long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps: (node, root), root the smallest node of its component.
 
-    Rows are linear in the edges and only (long, long) rows shuffle; every step is checkpointed. Nodes without an edge
-    are absent. Self-loops and repeated edges are harmless; edges with a null end are left out.
+    Each partition's edges are first reduced to their own forest. Rows are linear in the edges, only (long, long) rows
+    shuffle, every step is checkpointed, and a node with very many neighbours is spread over tasks. Nodes without an edge are
+    absent. Self-loops and repeated edges are harmless; edges with a null end are left out.
     """
-    now = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
-    now, n = cut_counted(now)
-    while not stars_only(now, n):
+    now = edges.select(F.least(a, b).cast("long").alias("v"), F.greatest(a, b).cast("long").alias("u")).where("u <> v")
+    now, n = cut_counted(local_forests(now).distinct())
+    now = local_forests(now)
+    while not stars_only(now):
         # Large star: every larger neighbour of a node moves to the node's least neighbour.
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(small(least, n), both.u == least.c).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, "u", "v", "n", 2 * n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: every smaller neighbour of a node, and the node, move to its least neighbour.
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        joined = large.join(small(least, n), large.u == least.c)
-        moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        moved = moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now, n = cut_counted(moved)
+        now = local_forests(now)
         release(edges.sparkSession)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return stars.unionByName(roots)
 
 
-def stars_only(edges: DataFrame, rows: int) -> bool:
+def stars_only(edges: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u: each component is a star around its smallest node."""
-    above = edges.groupBy("u").agg(F.count("*").alias("n"))
-    if not above.where("n > 1").isEmpty():
-        return False
-    return edges.join(small(above.select(F.col("u").alias("w")), rows), F.col("v") == F.col("w"), "left_semi").isEmpty()
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def edge_keys(df: DataFrame, left: str, right: str) -> DataFrame:

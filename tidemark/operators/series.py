@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import average_rank
+from tidemark.functions.stats import average_ranks
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str = "island") -> DataFrame:
@@ -60,9 +60,8 @@ def missing_ranges(df: DataFrame, keys: list[str], position: str) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """Average-tie rank over the number of values, of values rounded to 12 digits; null for null."""
-    rounded = df.withColumn("__v", F.round(value, 12))
-    n = F.count("__v").over(Window.partitionBy(*by))
-    return rounded.withColumn(out, average_rank("__v", by) / n).drop("__v")
+    ranked = average_ranks(df.withColumn("__v", F.round(value, 12)), "__v", by, "__rank", "__of")
+    return ranked.withColumn(out, F.col("__rank") / F.col("__of")).drop("__v", "__rank", "__of")
 
 
 def local_baseline(df: DataFrame, keys: list[str], order: list[str], value: str, radius: int) -> DataFrame:
@@ -99,7 +98,7 @@ def centroid_changes(df: DataFrame, key: str, order: str, vector: str, window: i
         def cosine(rows: list) -> float | None:
             a, b = (np.sum([r[1] for r in part], axis=0) for part in (rows[:window], rows[window:]))
             n = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
-            return float(1 - (a * b).sum() / n) if n > 0 else None
+            return float(1 - np.clip((a * b).sum() / n, -1, 1)) if n > 0 else None
 
         for pdf in batches:
             out = []

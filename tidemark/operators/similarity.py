@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import distribution
+from tidemark.functions.stats import QUANTILES
 from tidemark.functions.vectors import doubles
 from tidemark.storage import cut
 
@@ -30,9 +30,15 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
+def blocks_of(rows: int, block: int, cores: int) -> int:
+    """Blocks a side: at most `block` rows each, and as many as it takes for a small table to keep the cores busy."""
+    return max(1, math.ceil(rows / block), min(math.ceil(math.sqrt(cores)), rows // 256))
+
+
 def grid(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block: int = BLOCK) -> DataFrame:
     """kernel(left block, right block) over all pairs of blocks; an empty block gives no rows."""
-    n = [max(1, math.ceil(df.count() / block)) for df in (left, right)]
+    cores, rows = left.sparkSession.sparkContext.defaultParallelism, left.count()
+    n = [blocks_of(m, block, cores) for m in (rows, rows if right is left else right.count())]
     number = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     a = left.withColumns({"x": number(n[0]), "y": every(n[1])})
@@ -48,21 +54,29 @@ def grid(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block:
     return a.groupBy("x", "y").cogroup(b.groupBy("__x", "__y")).applyInPandas(run, schema)
 
 
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k highest finite scores of each row, best first, ties to the smaller column."""
+    k = min(k, scores.shape[1])
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((j, -scores[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k]
+
+
 def top_k(queries: DataFrame, targets: DataFrame, k: int, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(query, neighbor, rank, score): for (id, v) tables the k targets of highest dot product, rounded, ties to the
     smaller id; a target with the query's own id is left out."""
 
     def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        x, y, ids = matrix(p["v"]), matrix(q["v"]), q["id"].to_numpy()
+        x, y, own, ids = matrix(p["v"]), matrix(q["v"]).T, p["id"].to_numpy(), q["id"].to_numpy()
         out = []
         for s in range(0, len(x), 512):
-            scores = np.round(x[s : s + 512] @ y.T, digits)
-            for own, row in zip(p["id"].to_numpy()[s : s + 512], scores):
-                keep = np.flatnonzero(ids != own)
-                if len(keep) > k:
-                    keep = keep[row[keep] >= -np.partition(-row[keep], k - 1)[k - 1]]
-                first = keep[np.lexsort((ids[keep], -row[keep]))][:k]
-                out.append(pd.DataFrame({"query": own, "neighbor": ids[first], "score": row[first]}))
+            scores = np.round(x[s : s + 512] @ y, digits)
+            scores[own[s : s + 512, None] == ids[None, :]] = -np.inf
+            i, j = best_columns(scores, k)
+            out.append(pd.DataFrame({"query": own[s + i], "neighbor": ids[j], "score": scores[i, j]}))
         return pd.concat(out)
 
     kind = dict(targets.dtypes)["id"]
@@ -71,13 +85,18 @@ def top_k(queries: DataFrame, targets: DataFrame, k: int, digits: int = 6, block
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "neighbor", "rank", "score")
 
 
-def pairs(rows: DataFrame, block: int = BLOCK, *extra: str) -> DataFrame:
-    """(a, b, score[, extra_a, extra_b]) of all pairs a < b of an (id, v) table: the dot product in double precision."""
+def pairs(rows: DataFrame, block: int = BLOCK, *extra: str, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(a, b, score[, extra_a, extra_b]) of pairs a < b of an (id, v) table: the dot product in double precision.
+
+    `wanted` says of an array of scores which pairs come out; without it all do, which is quadratic in the rows: measures
+    over all pairs are summed in the blocks instead, see pair_summary.
+    """
 
     def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        i, j = np.nonzero(p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :])
-        score = (matrix(p["v"]) @ matrix(q["v"]).T)[i, j]
-        out = {"a": p["id"].to_numpy()[i], "b": q["id"].to_numpy()[j], "score": score}
+        score = matrix(p["v"]) @ matrix(q["v"]).T
+        keep = p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :]
+        i, j = np.nonzero(keep & wanted(score) if wanted else keep)
+        out = {"a": p["id"].to_numpy()[i], "b": q["id"].to_numpy()[j], "score": score[i, j]}
         for c in extra:
             out |= {f"{c}_a": p[c].to_numpy()[i], f"{c}_b": q[c].to_numpy()[j]}
         return pd.DataFrame(out)
@@ -87,12 +106,136 @@ def pairs(rows: DataFrame, block: int = BLOCK, *extra: str) -> DataFrame:
     return grid(rows, rows, kernel, f"a {types['id']}, b {types['id']}, score double{more}", min(block, 2048))
 
 
-def quantile_cohorts(scored: DataFrame, quantiles: list[float], flag: str) -> DataFrame:
-    """(quantile, threshold, pairs, flagged, mean): nested cohorts of pairs at or above each linear quantile, ties kept."""
-    cuts = scored.agg(*[F.percentile("score", F.lit(q)).alias(str(i)) for i, q in enumerate(quantiles)])
-    cuts = cuts.select(F.explode(F.array(*[F.struct(F.lit(q).alias("quantile"), F.col(str(i)).alias("threshold")) for i, q in enumerate(quantiles)])).alias("c")).select("c.*")
-    joined = scored.join(F.broadcast(cuts), F.col("score") >= F.col("threshold"))  # one row a quantile
-    return joined.groupBy("quantile", "threshold").agg(F.count("*").alias("pairs"), F.count_if(flag).alias("flagged"), F.avg("score").alias("mean"))
+#: Bins of a histogram of scores, and values that a quantile's last bin may hold before they are sorted.
+BINS, FINAL = 1 << 16, 100_000
+#: Strata by name: for two blocks, which of their pairs belong to each. They may overlap.
+Strata = Callable[[pd.DataFrame, pd.DataFrame], dict[str, np.ndarray]]
+
+
+def everything(p: pd.DataFrame, q: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {"all": np.ones((len(p), len(q)), bool)}
+
+
+def stratum_values(rows: DataFrame, strata: Strata, digits: int | None, reduce: Callable[[str, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+    """reduce(stratum, scores) over the pairs a < b of each two blocks: no pair leaves its task unless reduce returns it."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        once = p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :]
+        score = matrix(p["v"]) @ matrix(q["v"]).T
+        score = score if digits is None else np.round(score, digits)
+        got = [reduce(name, score[once & mask]) for name, mask in strata(p, q).items()]
+        got = [g[names] for g in got if g is not None and len(g)]
+        return pd.concat(got) if got else pd.DataFrame({c: [] for c in names})
+
+    return grid(rows, rows, kernel, schema, 2048)
+
+
+def pair_summary(rows: DataFrame, strata: Strata = everything, quantiles: dict[str, float] = QUANTILES, digits: int | None = None) -> DataFrame:
+    """(stratum, count, mean, std, min, max, quantiles) of the scores of all pairs a < b of an (id, v, ...) table.
+
+    Exact: tasks send counts by bin; the bins that hold a quantile's two neighbouring ranks are divided again, until what they
+    hold is few enough to be sorted. A pass is one comparison of all pairs, and what shuffles is bins, not pairs. Strata are few
+    and named by the caller; one row a stratum and quantile reaches the driver. Strata without a pair have no row.
+    """
+    def first(name: str, x: np.ndarray) -> pd.DataFrame | None:
+        if not len(x):
+            return None
+        return pd.DataFrame({"stratum": [name], "n": [len(x)], "total": [x.sum()], "square": [(x * x).sum()], "low": [x.min()], "high": [x.max()]})
+
+    sums = stratum_values(rows, strata, digits, first, "stratum string, n long, total double, square double, low double, high double")
+    sums = cut(sums.groupBy("stratum").agg(*[F.sum(c).alias(c) for c in ("n", "total", "square")], F.min("low").alias("low"), F.max("high").alias("high")))
+    known = {r.stratum: r for r in sums.collect()}
+    ranks = {(s, k) for s, r in known.items() for q in quantiles.values() for k in (math.floor(q * (r.n - 1)), math.ceil(q * (r.n - 1)))}
+    values = ranked_values(rows, strata, digits, {s: (r.low, r.high, r.n) for s, r in known.items()}, ranks)
+    out = []
+    for s, r in known.items():
+        mean = r.total / r.n
+        spread = math.sqrt(max(r.square / r.n - mean * mean, 0.0))
+        at = [q * (r.n - 1) for q in quantiles.values()]
+        out.append((s, r.n, mean, spread, r.low, r.high, *[values[s, math.floor(x)] + (values[s, math.ceil(x)] - values[s, math.floor(x)]) * (x - math.floor(x)) for x in at]))
+    shape = "stratum string, count long, mean double, std double, min double, max double" + "".join(f", {n} double" for n in quantiles)
+    return rows.sparkSession.createDataFrame(out, shape)
+
+
+def shown(summary: DataFrame, digits: int = 6) -> DataFrame:
+    return summary.withColumns({c: F.round(c, digits) for c, kind in summary.dtypes if kind == "double"})
+
+
+def ranked_values(rows: DataFrame, strata: Strata, digits: int | None, known: dict[str, tuple[float, float, int]], ranks: set[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The score at each (stratum, rank from 0), from the least and highest score and the number of pairs of each stratum.
+
+    Ranges [low, high] that hold wanted ranks are divided into bins until they are few values or one, then those are sorted.
+    """
+    todo = {(s, low, high): (0, n, {k for t, k in ranks if t == s}) for s, (low, high, n) in known.items()}
+    out: dict[tuple[str, int], float] = {}
+    while todo:
+        done = {r for r in todo if r[1] == r[2]}
+        for r in done:
+            out |= {(r[0], k): r[1] for k in todo[r][2]}
+        todo = {r: x for r, x in todo.items() if r not in done}
+        few = {r for r, x in todo.items() if x[1] <= FINAL or np.nextafter(r[1], r[2]) >= r[2]}
+        if not todo:
+            break
+        ranges: dict[str, list[tuple[int, float, float, bool]]] = {}
+        order = list(todo)
+        for i, r in enumerate(order):
+            ranges.setdefault(r[0], []).append((i, r[1], r[2], r in few))
+
+        def count(name: str, x: np.ndarray) -> pd.DataFrame | None:
+            parts = []
+            for i, low, high, last in ranges.get(name, ()):  # noqa: B023
+                own = x[(x >= low) & (x <= high)]
+                if last:  # each value with its count
+                    v, n = np.unique(own, return_counts=True)
+                    parts.append(pd.DataFrame({"r": i, "bin": -1, "n": n, "low": v, "high": v}))
+                    continue
+                bins = np.minimum((own - low) * (BINS / (high - low)), BINS - 1).astype(np.int64)
+                frame = pd.DataFrame({"bin": bins, "v": own}).groupby("bin")["v"].agg(n="size", low="min", high="max").reset_index()
+                parts.append(frame.assign(r=i))
+            return pd.concat(parts) if parts else None
+
+        found = stratum_values(rows, strata, digits, count, "r long, bin long, n long, low double, high double")
+        # A bin's key: its number, or the value itself in a range that is few values.
+        key = F.when(F.col("bin") >= 0, F.col("bin").cast("double")).otherwise(F.col("low"))
+        binned = found.groupBy("r", key.alias("key")).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        before = F.sum("n").over(Window.partitionBy("r").orderBy("key")) - F.col("n")
+        placed = binned.withColumn("before", before)  # at most BINS or FINAL rows a range
+        want = [(i, k, k - todo[r][0]) for i, r in enumerate(order) for k in todo[r][2]]
+        asked = F.broadcast(rows.sparkSession.createDataFrame(want, "r long, k long, place long"))
+        nxt: dict[tuple[str, float, float], tuple[int, int, set[int]]] = {}
+        for x in placed.join(asked, "r").where("place >= before and place < before + n").collect():  # one row a rank
+            s = order[x.r][0]
+            _, _, held = nxt.setdefault((s, x.low, x.high), (todo[order[x.r]][0] + x.before, x.n, set()))
+            held.add(x.k)
+        todo = nxt
+    return out
+
+
+def tail_above(rows: DataFrame, threshold: dict[str, float], strata: Strata, digits: int | None = None) -> DataFrame:
+    """(stratum, pairs, total): of each stratum's pairs, those with a score at or above its threshold, and their sum."""
+
+    def tail(name: str, x: np.ndarray) -> pd.DataFrame | None:
+        x = x[x >= threshold[name]]
+        return pd.DataFrame({"stratum": [name], "pairs": [len(x)], "total": [x.sum()]}) if len(x) else None
+
+    return stratum_values(rows, strata, digits, tail, "stratum string, pairs long, total double").groupBy("stratum").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"))
+
+
+def quantile_cohorts(rows: DataFrame, quantiles: list[float], flag: str, digits: int) -> DataFrame:
+    """(quantile, threshold, pairs, flagged, mean): nested cohorts of all pairs whose rounded score is at or above each linear
+    quantile, ties kept; flagged pairs are those of equal `flag`."""
+    names = {f"q{i}": q for i, q in enumerate(quantiles)}
+    cuts = pair_summary(rows, everything, names, digits).first()
+    threshold = {n: cuts[n] for n in names} | {f"{n} flagged": cuts[n] for n in names}
+
+    def strata(p: pd.DataFrame, q: pd.DataFrame) -> dict[str, np.ndarray]:
+        own = p[flag].to_numpy()[:, None] == q[flag].to_numpy()[None, :]
+        return {n: np.ones_like(own) for n in names} | {f"{n} flagged": own for n in names}
+
+    got = {r.stratum: r for r in tail_above(rows, threshold, strata, digits).collect()}  # two rows a quantile
+    out = [(q, cuts[n], got[n].pairs, got[f"{n} flagged"].pairs if f"{n} flagged" in got else 0, got[n].total / got[n].pairs) for n, q in names.items()]
+    return rows.sparkSession.createDataFrame(out, "quantile double, threshold double, pairs long, flagged long, mean double")
 
 
 def agreement(left: DataFrame, right: DataFrame, ks: list[int]) -> DataFrame:
@@ -223,10 +366,6 @@ def directed_support(rows: DataFrame, group: str, digits: int = 6) -> DataFrame:
     return each.groupBy("left", "right").agg(F.count("*").alias("n"), F.percentile("score", F.lit(0.5)).alias("median"), F.percentile("score", F.lit(0.95)).alias("p95"), F.count("m").alias("mutual"))
 
 
-def near_unit(scored: DataFrame, tolerance: float) -> DataFrame:
-    return scored.where(F.abs(F.col("score") - 1) <= tolerance)
-
-
-def score_summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(*distribution("score"))
-
+def near_unit(rows: DataFrame, tolerance: float) -> DataFrame:
+    """(a, b, score) of pairs whose score is within `tolerance` of 1."""
+    return pairs(rows, BLOCK, wanted=lambda s: np.abs(s - 1) <= tolerance)

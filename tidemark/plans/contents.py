@@ -76,32 +76,34 @@ def dataset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.dataset_digest(occurrences(spark, sf_dir), ["doc_id", "content_id"])
 
 
-@catalogue.add("""WITH d AS (SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0)
+@catalogue.add("""WITH d AS (SELECT doc_id, source FROM documents WHERE lang <> 'de')
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, source, quality, CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL THEN 'matched'
 WHEN d.doc_id IS NOT NULL THEN 'image_without_label' ELSE 'label_without_image' END AS status FROM d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""")
 def match_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "source")
+    """Documents of all languages but one as images, all labels: some labels are without an image."""
+    images = table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return J.match(images, labels, ["doc_id"], ["quality"], ("matched", "image_without_label", "label_without_image"))
 
 
-@catalogue.add("""WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)
+@catalogue.add("""WITH d AS (SELECT doc_id FROM documents WHERE lang <> 'de')
 SELECT l.doc_id, quality, toxic, d2.doc_id IS NOT NULL AS in_documents FROM labels l LEFT JOIN documents d2 ON l.doc_id = d2.doc_id
 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = l.doc_id)""")
 def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    orphans = table(spark, sf_dir, "labels").join(docs.where("doc_id % 3 <> 0"), "doc_id", "left_anti")
-    return orphans.join(docs.withColumn("in_documents", F.lit(True)), "doc_id", "left").fillna(False, ["in_documents"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    orphans = table(spark, sf_dir, "labels").join(docs.where("lang <> 'de'"), "doc_id", "left_anti")
+    return orphans.join(docs.select("doc_id", F.lit(True).alias("in_documents")), "doc_id", "left").fillna(False, ["in_documents"])
 
 
-@catalogue.add("""WITH a AS (SELECT lang AS k, source, count(*) AS n_left FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2),
-b AS (SELECT lang AS k, source, count(*) AS n_right FROM documents WHERE doc_id % 7 = 1 GROUP BY 1, 2),
-j AS (SELECT coalesce(a.k, b.k) AS lang, coalesce(a.source, b.source) AS source, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right
-FROM a FULL OUTER JOIN b ON a.k = b.k AND a.source = b.source)
+@catalogue.add("""WITH d AS (SELECT source, n_chars // 100 AS length, lang IN ('en', 'de') AS l FROM documents), a AS (SELECT source, length, count(*) AS n_left FROM d WHERE l GROUP BY 1, 2),
+b AS (SELECT source, length, count(*) AS n_right FROM d WHERE NOT l GROUP BY 1, 2),
+j AS (SELECT coalesce(a.length, b.length) AS length, coalesce(a.source, b.source) AS source, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right
+FROM a FULL OUTER JOIN b ON a.length = b.length AND a.source = b.source)
 SELECT *, CASE WHEN n_right = 0 THEN 'left_alone' WHEN n_left = 0 THEN 'right_alone' WHEN n_left = 1 AND n_right = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM j""")
 def unambiguous_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return J.pair_unambiguous(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 7 = 1"), ["lang", "source"])
+    """Documents of two languages and of all others, paired by source and length class where either side has just one."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.floor(F.col("n_chars") / 100).alias("length"))
+    return J.pair_unambiguous(docs.where("lang in ('en', 'de')"), docs.where("lang not in ('en', 'de')"), ["source", "length"])
 
 
 @catalogue.add(f"""WITH {OCC}, h AS (SELECT DISTINCT source AS o, content_id AS i FROM occ), s AS (SELECT o, count(*) AS n FROM h GROUP BY o),
@@ -135,7 +137,7 @@ def objects_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p)
 SELECT page_id, len(parts) AS depth, lower(regexp_extract(parts[-1], '.\.([A-Za-z0-9]+)$', 1)) AS extension,
 CASE WHEN list_contains(list_transform(parts, lambda x: lower(x)), 'en') THEN 'train' WHEN list_contains(list_transform(parts, lambda x: lower(x)), 'fr') OR list_contains(list_transform(parts, lambda x: lower(x)), 'de') THEN 'val' ELSE 'unknown' END AS split,
-regexp_extract(path, '([0-9]+)$', 1) AS tail, array_to_string(list_filter(['example', 'm', 'en', 'org'], lambda w: list_contains(string_split_regex(lower(path), '[^a-z0-9]+'), w)), '|') AS concepts FROM s""")
+regexp_extract(path, '([0-9]+)$', 1) AS tail, array_to_string(list_filter(['example', 'm', 'en', 'org'], lambda w: list_contains(string_split_regex(lower(path), '[/_. -]+'), w)), ',') AS concepts FROM s""")
 def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
     p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
@@ -152,24 +154,40 @@ def source_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", video.alias("video_id"), F.sha2("html", 256).alias("image_sha256"), F.octet_length("html").alias("size"))
 
 
-LABELS = """t AS (SELECT l_orderkey AS k, string_agg((l_linenumber - 1) || ' ' || l_discount || ' ' || (l_tax + 0.4) || ' ' || (l_quantity / 50) || ' ' || l_tax, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text FROM lineitem GROUP BY 1)"""
+LABELS = """t AS (SELECT l_orderkey AS k, string_agg(CASE WHEN l_tax = 0.08 THEN '-1' ELSE CAST(l_linenumber - 1 AS VARCHAR) END || ' ' || (l_discount + 0.45) || ' ' || (l_tax + 0.4) || ' ' || (l_quantity / 50)
+|| CASE WHEN l_discount = 0.1 AND l_linestatus = 'F' THEN '' ELSE ' ' || (l_tax + 0.01) END, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS text FROM lineitem GROUP BY 1)"""
 
 
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One label text an order, a line for each of its items: some are valid boxes, some not."""
-    line = F.concat_ws(" ", F.col("l_linenumber") - 1, "l_discount", F.col("l_tax") + 0.4, F.col("l_quantity") / 50, "l_tax")
+    """One label text an order, a line for each of its items: some are valid boxes, some break a rule."""
+    cls = F.when(F.col("l_tax") == 0.08, "-1").otherwise((F.col("l_linenumber") - 1).cast("string"))
+    height = F.when(~((F.col("l_discount") == 0.1) & (F.col("l_linestatus") == "F")), F.col("l_tax") + 0.01)
+    line = F.concat_ws(" ", cls, F.col("l_discount") + 0.45, F.col("l_tax") + 0.4, F.col("l_quantity") / 50, height)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")).alias("s"))
     return rows.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list("s")).alias("s")).select("k", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("text"))
 
 
-@catalogue.add(f"""WITH {LABELS}, r AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t), f AS (SELECT k, string_split(line, ' ') AS f FROM r),
-n AS (SELECT k, CAST(f[1] AS INT) AS c, CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE) AS y, CAST(f[4] AS DOUBLE) AS w, CAST(f[5] AS DOUBLE) AS h FROM f),
-i AS (SELECT *, CASE WHEN c < 0 OR c >= 5 THEN 'class' WHEN NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND w > 0 AND w <= 1 AND h > 0 AND h <= 1) THEN 'range'
-WHEN greatest(w / 2 - x, h / 2 - y, x + w / 2 - 1, y + h / 2 - 1) > 0.01 THEN 'outside' WHEN greatest(w / 2 - x, h / 2 - y, x + w / 2 - 1, y + h / 2 - 1) > 1e-9 THEN 'edge' END AS issue FROM n)
-SELECT k, count(*) FILTER (WHERE issue IS NULL OR issue = 'edge') AS boxes, coalesce(string_agg(issue, '|' ORDER BY issue), '') AS issues FROM i GROUP BY k""")
+BOXES = f"""{LABELS}, r AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t), f AS (SELECT k, string_split(line, ' ') AS f FROM r),
+n AS (SELECT k, len(f) = 5 AND TRY_CAST(f[1] AS INT) >= 0 AS box, CAST(f[1] AS INT) AS c, CAST(f[2] AS DOUBLE) AS x, CAST(f[3] AS DOUBLE) AS y, CAST(f[4] AS DOUBLE) AS w, CASE WHEN len(f) = 5 THEN CAST(f[5] AS DOUBLE) END AS h FROM f),
+e AS (SELECT *, box AND NOT (x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1 AND w > 0 AND w <= 1 AND h > 0 AND h <= 1) AS off, least(x - w / 2, y - h / 2) AS lo, greatest(x + w / 2, y + h / 2) AS hi FROM n),
+i AS (SELECT *, box AND NOT (lo >= 0 AND hi <= 1) AND (lo >= -0.01 AND hi <= 1.01) AS slight, box AND NOT (lo >= -0.01 AND hi <= 1.01) AS outside FROM e)"""
+
+
+@catalogue.add(f"""WITH {BOXES} SELECT k, bool_and(box) AS syntax_valid, NOT bool_or(off) AS normalized_valid, NOT bool_or(slight OR outside) AS geometry_valid, bool_and(box) AND NOT bool_or(off) AND NOT bool_or(slight OR outside) AS label_valid,
+count(*) FILTER (WHERE box) AS num_objects, count(*) FILTER (WHERE NOT box) + count(*) FILTER (WHERE off) + count(*) FILTER (WHERE outside) AS n_errors, count(*) FILTER (WHERE slight) AS n_warnings, coalesce(string_agg(DISTINCT c, ',' ORDER BY c) FILTER (WHERE box), '') AS classes,
+round(avg(w * h) FILTER (WHERE box), 8) AS area_mean, round(min(w * h) FILTER (WHERE box), 8) AS area_min, round(max(w * h) FILTER (WHERE box), 8) AS area_max, round(avg(w) FILTER (WHERE box), 8) AS width_mean, round(avg(h) FILTER (WHERE box), 8) AS height_mean FROM i GROUP BY k""")
 def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = label_texts(spark, sf_dir).select("k", X.label_boxes(F.col("text")).alias("b"))
-    return got.select("k", F.size("b.boxes").alias("boxes"), F.array_join("b.issues", "|").alias("issues"))
+    got = label_texts(spark, sf_dir).select("k", X.label_report(F.col("text")).alias("r")).select("k", "r.*").drop("label_empty")
+    return got.withColumns({c: F.round(c, 8) for c in ("area_mean", "area_min", "area_max", "width_mean", "height_mean")})
+
+
+@catalogue.add(f"""WITH {BOXES}, b AS (SELECT k, list_sort(list({{'c': c, 'x': x, 'y': y, 'w': w, 'h': h}})) AS v FROM i WHERE box GROUP BY k)
+SELECT k, len(v) AS boxes, array_to_string(list_transform(v, lambda r: r.c || ' ' || printf('%.6f %.6f %.6f %.6f', r.x, r.y, r.w, r.h)), '|') AS canonical FROM b""")
+def label_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical content of each label text with a box: its boxes in order, by which equal annotations are found."""
+    own = label_texts(spark, sf_dir).select("k", X.sorted_boxes(F.col("text")).alias("b")).where(F.size("b") > 0)
+    shown = F.transform("b", lambda r: F.format_string("%d %.6f %.6f %.6f %.6f", r["c"], r["x"], r["y"], r["w"], r["h"]))
+    return own.select("k", F.size("b").alias("boxes"), F.array_join(shown, "|").alias("canonical"))
 
 
 STATS = "round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(max(v), 6) AS max"
@@ -185,7 +203,7 @@ def label_geometry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("class", "metric").agg(F.count("v").alias("count"), show(F.avg("v"), "mean"), show(F.stddev_samp("v"), "std"), show(F.min("v"), "min"), *quartiles, show(F.max("v"), "max"))
 
 
-DIST = "round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)))
+DIST = "round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS {n}" for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p90", 0.9), ("p95", 0.95), ("p975", 0.975), ("p99", 0.99), ("p995", 0.995), ("p999", 0.999)))
 
 
 @catalogue.add(f"""SELECT event_type, count(v) AS count, {DIST} FROM (SELECT event_type, value AS v FROM events) GROUP BY 1""")
@@ -239,8 +257,14 @@ def content_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("content_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["split"])), "|").alias("points"))
 
 
-@catalogue.add("""WITH k AS (SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '.\\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)
-SELECT CASE WHEN e IN ('jpg','jpeg','png','bmp','tif','tiff','webp') THEN 'image' WHEN e IN ('yaml','yml','json','toml','ini','cfg') THEN 'config' WHEN e IN ('csv','parquet','xml','md') THEN 'metadata' WHEN e = 'txt' THEN 'label' ELSE 'other' END AS kind, count(*) AS members FROM k GROUP BY 1""")
+KIND = """CASE WHEN e IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff', '.webp') THEN 'image' WHEN e = '.txt' THEN 'label' WHEN e IN ('.mp4', '.mov', '.avi', '.mkv') THEN 'video' WHEN e IN ('.pt', '.pth', '.ckpt', '.onnx') THEN 'model'
+WHEN e IN ('.zip', '.tar', '.gz', '.tgz', '.rar', '.7z') THEN 'archive' WHEN e IN ('.yaml', '.yml', '.json', '.toml', '.ini', '.cfg') THEN 'config' WHEN e IN ('.csv', '.md', '.xml', '.log') THEN 'metadata' ELSE 'other' END"""
+#: Extensions given to pages, so that members of every kind are there.
+ENDINGS = [".jpg", ".TXT", ".mp4", ".ckpt", ".tgz", ".yaml", ".log", ".h5", ".parquet", ""]
+
+
+@catalogue.add(f"""WITH k AS (SELECT lower(({ENDINGS})[page_id % 10 + 1]) AS e FROM pages) SELECT {KIND} AS kind, e AS suffix, count(*) AS members FROM k GROUP BY 1, 2""")
 def member_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
-    return table(spark, sf_dir, "pages").groupBy(X.member_kind(path).alias("kind")).agg(F.count("*").alias("members"))
+    ending = F.get(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % 10).cast("int"))
+    members = table(spark, sf_dir, "pages").select(F.concat(F.lit("images/m"), F.col("page_id").cast("string"), ending).alias("path"))
+    return members.groupBy(X.member_kind(F.col("path")).alias("kind"), X.suffix(F.col("path")).alias("suffix")).agg(F.count("*").alias("members"))

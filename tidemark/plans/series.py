@@ -127,11 +127,11 @@ def temporal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).groupBy("user_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
 
 
-ZONES = f"{TIMED}, z AS (SELECT user_id, pos AS a, pos + 3 AS b, event_id FROM t WHERE event_type = 'error' AND pos % 2 = 0)"
+ZONES = f"{TIMED}, z AS (SELECT user_id, pos AS a, pos + 3 AS b, event_id FROM t WHERE event_type = 'error')"
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = timed(spark, sf_dir).where("event_type = 'error' and pos % 2 = 0")
+    rows = timed(spark, sf_dir).where("event_type = 'error'")
     return rows.select("user_id", F.col("pos").alias("a"), (F.col("pos") + 3).alias("b"), F.col("event_id").alias("zone"))
 
 
@@ -158,10 +158,10 @@ def interval_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.set_jaccard(S.position_sets(a, ["user_id"]), S.position_sets(b, ["user_id"]), ["user_id"]).withColumn("shared", F.col("shared").cast("long"))
 
 
-@catalogue.add(f"""WITH {TIMED}, c AS (SELECT user_id, event_id AS centre, s FROM t WHERE event_id % 50 = 0) SELECT centre, t.event_id, round(t.s - c.s, 6) AS delta FROM c JOIN t ON c.user_id = t.user_id AND abs(t.s - c.s) <= 7200.000000001""")
+@catalogue.add(f"""WITH {TIMED}, c AS (SELECT user_id, event_id AS centre, s FROM t WHERE event_type = 'signup') SELECT centre, t.event_id, round(t.s - c.s, 6) AS delta FROM c JOIN t ON c.user_id = t.user_id AND abs(t.s - c.s) <= 7200.000000001""")
 def context_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = timed(spark, sf_dir)
-    centres = t.where("event_id % 50 = 0").select("user_id", F.col("event_id").alias("centre"), F.col("s").alias("c"))
+    centres = t.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("centre"), F.col("s").alias("c"))
     near = J.band_join(centres, t.select("user_id", "event_id", "s"), ["user_id"], "c", "s", 7200.000000001)
     return near.select("centre", "event_id", F.round(F.col("s") - F.col("c"), 6).alias("delta"))
 
@@ -233,28 +233,6 @@ def assignment_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.invariants(rows, rows, "o_orderkey", "o_custkey").withColumn("violations", F.col("violations").cast("long"))
 
 
-GRAPH = f"{OCC}, s AS (SELECT content_id, min(doc_id) AS m FROM occ GROUP BY 1), x AS (SELECT m AS a, doc_id AS b FROM occ JOIN s USING (content_id) WHERE doc_id <> m UNION SELECT doc_id, doc_id + 25 FROM occ WHERE doc_id % 25 < 2 AND doc_id < 200 AND doc_id % 50 < 25 UNION SELECT doc_id, doc_id + 1 FROM occ WHERE doc_id % 40 = 3 AND doc_id < 200)"
-
-
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document pairs with states: equal contents, candidates by rule, and rejected ones, some of which were candidates."""
-    occ = occurrences(spark, sf_dir)
-    same = G.star_edges(occ, "doc_id", "content_id").withColumn("state", F.lit("exact"))
-    ids = occ.select(F.col("doc_id").alias("a"))
-    some = ids.where("a % 25 < 2 and a < 200 and a % 50 < 25").select("a", (F.col("a") + 25).alias("b"), F.lit("confirmed").alias("state"))
-    more = ids.where("a % 40 = 3 and a < 200").select("a", (F.col("a") + 1).alias("b"), F.lit("confirmed").alias("state"))
-    veto = ids.where("a % 40 = 3 and a < 200 and a % 80 = 3").select("a", (F.col("a") + 1).alias("b"), F.lit("rejected").alias("state"))
-    return same.unionByName(some).unionByName(more).unionByName(veto)
-
-
-@catalogue.add(f"""WITH RECURSIVE {GRAPH}, k AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM x), e AS (SELECT DISTINCT a, b FROM k WHERE NOT (a % 80 = 3 AND b = a + 1 AND a < 200)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT doc_id AS n, doc_id AS r FROM occ UNION SELECT u.b, w.r FROM w JOIN u ON u.a = w.n), g AS (SELECT n, min(r) AS group_id FROM w WHERE n IN (SELECT doc_id FROM occ) GROUP BY 1)
-SELECT n AS node, group_id, count(*) OVER (PARTITION BY group_id) AS members FROM g""")
-def sensitivity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = occurrences(spark, sf_dir).select("doc_id")
-    return G.dependency_groups(nodes, evidence(spark, sf_dir), "doc_id", "a", "b", "state", ["exact", "confirmed"], "rejected")
-
-
 NEXT = """n AS (SELECT a, b, p.quality <> q.quality AS no FROM (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY lang, source, n_chars // 500 ORDER BY doc_id) AS b FROM documents) d
 LEFT JOIN labels p ON p.doc_id = a LEFT JOIN labels q ON q.doc_id = b WHERE b IS NOT NULL)"""
 
@@ -286,12 +264,14 @@ def review_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.decision_summary(docs.withColumn("decision", F.col("quality").cast("string")), "lang", "source", "decision")
 
 
-@catalogue.add("""WITH r AS (SELECT doc_id, quality, toxic FROM labels), d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality END AS quality, CASE WHEN doc_id % 2 = 0 THEN 1 END AS toxic FROM labels WHERE doc_id % 5 <> 0)
+@catalogue.add("""WITH r AS (SELECT doc_id, quality, toxic FROM labels), d AS (SELECT doc_id, CASE WHEN n_chars > 500 THEN 1 - quality END AS quality, CASE WHEN lang = 'en' THEN 1 END AS toxic FROM labels JOIN documents USING (doc_id))
 SELECT r.doc_id, 'quality' AS "column", CAST(r.quality AS VARCHAR) AS before, CAST(d.quality AS VARCHAR) AS after FROM r JOIN d USING (doc_id) WHERE d.quality IS NOT NULL AND d.quality IS DISTINCT FROM r.quality
 UNION ALL SELECT r.doc_id, 'toxic', CAST(r.toxic AS VARCHAR), CAST(d.toxic AS VARCHAR) FROM r JOIN d USING (doc_id) WHERE d.toxic IS NOT NULL AND d.toxic IS DISTINCT FROM r.toxic""")
 def review_upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels, and decisions on all of them: long texts change their quality, English ones become toxic; blanks change nothing."""
     review = table(spark, sf_dir, "labels")
-    new = review.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1 - F.col("quality")).alias("quality"), F.when(F.col("doc_id") % 2 == 0, 1).alias("toxic"))
+    known = review.join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    new = known.select("doc_id", F.when(F.col("n_chars") > 500, 1 - F.col("quality")).alias("quality"), F.when(F.col("lang") == "en", 1).alias("toxic"))
     return R.upsert(review, new, "doc_id", ["quality", "toxic"])[1]
 
 
@@ -301,12 +281,14 @@ def review_first_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_decisions(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "role")
 
 
-@catalogue.add("""WITH p AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END FROM labels WHERE doc_id % 3 <> 1)
+@catalogue.add("""WITH p AS (SELECT doc_id, quality FROM labels WHERE toxic = 0 UNION ALL SELECT doc_id, CASE WHEN lang = 'fr' THEN 1 - quality ELSE quality END FROM labels JOIN documents USING (doc_id))
 SELECT doc_id, count(*) AS revisions, CASE WHEN count(DISTINCT quality) = 1 THEN min(quality) END AS quality, count(DISTINCT quality) > 1 AS conflict FROM p GROUP BY 1""")
 def review_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reviewers: one of all labels that aren't toxic, one of all labels who sees French texts the other way."""
     labels = table(spark, sf_dir, "labels")
-    second = labels.where("doc_id % 3 <> 1").withColumn("quality", F.when(F.col("doc_id") % 7 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    return R.pool([labels.where("doc_id % 2 = 0"), second], "doc_id", "quality")
+    second = labels.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    second = second.select("doc_id", F.when(F.col("lang") == "fr", 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), "toxic")
+    return R.pool([labels.where("toxic = 0"), second], "doc_id", "quality")
 
 
 RUNS_OF = "r AS (SELECT l_returnflag AS arm, l_suppkey % 5 AS outer_seed, l_linenumber AS inner_seed, avg(l_quantity) AS map50, avg(l_discount) AS recall FROM lineitem GROUP BY 1, 2, 3)"
@@ -351,24 +333,39 @@ def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.shortlist(rows, ["g"], "k", ["q"], ["d"], 3).select("g", "k", "mean_rank", "place")
 
 
-DETECTED = "d AS (SELECT event_type AS c, value AS conf, event_id % 3 <> 0 AS hit, event_id AS i FROM events WHERE event_id % 5 <> 4), u AS (SELECT event_type AS c, count(*) AS support FROM events WHERE event_id % 3 <> 0 GROUP BY 1)"
+DETECTED = """d AS (SELECT event_type AS c, value AS conf, (event_id * 37) % 1000 / 1000 AS iou, event_id AS i FROM events), u AS (SELECT event_type AS c, count(*) AS support FROM events WHERE (event_id * 37) % 1000 >= 400 GROUP BY 1),
+h AS (SELECT range AS t, CAST(0.5 + 0.05 * range AS DECIMAL(3, 2)) AS least FROM range(10)),
+r AS (SELECT c, t, support, sum(CASE WHEN iou >= least THEN 1 ELSE 0 END) OVER w AS tp, count(*) OVER w AS n FROM d JOIN u USING (c) CROSS JOIN h WINDOW w AS (PARTITION BY c, t ORDER BY conf DESC, i)),
+p AS (SELECT c, t, n AS j, tp / support AS r, tp / n AS p FROM r UNION ALL SELECT c, t, 0, 0, 1 FROM u, h UNION ALL SELECT c, t, 1000000000, 1, 0 FROM u, h),
+e AS (SELECT c, t, j, r, max(p) OVER (PARTITION BY c, t ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM p),
+g AS (SELECT c, t, r, min(e) AS here, max(e) AS top FROM e GROUP BY 1, 2, 3), k AS (SELECT *, lead(r) OVER w AS r2, lead(top) OVER w AS e2 FROM g WINDOW w AS (PARTITION BY c, t ORDER BY r)),
+x AS (SELECT c, t, range AS i, CASE WHEN range = 100 THEN 1.0::DOUBLE ELSE range * 0.01::DOUBLE END AS x FROM u, h, range(101)),
+v AS (SELECT x.c, x.t, i, CASE WHEN r2 IS NULL OR x = r THEN here ELSE here + (e2 - here) * (x - r) / (r2 - r) END AS v FROM x ASOF JOIN k ON x.c = k.c AND x.t = k.t AND x.x >= k.r),
+a AS (SELECT c, t, sum(v * CASE WHEN i IN (0, 100) THEN 0.5 ELSE 1 END) * 0.01 AS ap FROM v GROUP BY 1, 2)"""
 
 
 def detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events as detections by class, value as confidence; hits by id. Support counts all hits, found or not."""
-    events = table(spark, sf_dir, "events")
-    found = events.where("event_id % 5 <> 4").select(F.col("event_type").alias("c"), F.col("value").alias("conf"), (F.col("event_id") % 3 != 0).alias("hit"), F.col("event_id").alias("i"))
-    return found, events.where("event_id % 3 <> 0").groupBy(F.col("event_type").alias("c")).agg(F.count("*").alias("support"))
+    """All events as detections by class: value as confidence, an overlap from the id. Support counts the classes' objects."""
+    overlap = ((F.col("event_id") * 37) % 1000) / 1000
+    found = table(spark, sf_dir, "events").select(F.col("event_type").alias("c"), F.col("value").alias("conf"), overlap.alias("iou"), F.col("event_id").alias("i"))
+    return found, found.where("iou >= 0.4").groupBy("c").agg(F.count("*").alias("support"))
 
 
-@catalogue.add(f"""WITH {DETECTED}, r AS (SELECT c, support, sum(hit::INT) OVER w AS tp, count(*) OVER w AS n FROM d JOIN u USING (c) WINDOW w AS (PARTITION BY c ORDER BY conf DESC, i)), p AS (SELECT c, tp / support AS r, max(tp / n) AS p FROM r GROUP BY 1, 2),
-e AS (SELECT c, r, max(p) OVER (PARTITION BY c ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM p), f AS (SELECT c, r, max(e) AS e FROM (SELECT * FROM e UNION ALL SELECT c, 0, max(e) FROM e GROUP BY c UNION ALL SELECT c, 1, 0 FROM u) GROUP BY 1, 2),
-g AS (SELECT *, lead(r) OVER w AS r2, lead(e) OVER w AS e2 FROM f WINDOW w AS (PARTITION BY c ORDER BY r)), x AS (SELECT unnest(generate_series(0, 100)) / 100 AS x)
-SELECT c, support, round(avg(CASE WHEN r2 IS NULL THEN e ELSE e + (e2 - e) * (x - r) / (r2 - r) END), 6) AS ap FROM u JOIN g USING (c) JOIN x ON x >= r AND (x < r2 OR r2 IS NULL) GROUP BY 1, 2""")
+@catalogue.add(f"""WITH {DETECTED} SELECT c, support, round(max(CASE WHEN t = 0 THEN ap END), 6) AS map50, round(avg(ap), 6) AS map50_95 FROM a JOIN u USING (c) GROUP BY 1, 2""")
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, support = detections(spark, sf_dir)
-    got = E.average_precision(E.precision_recall(found, "c", "conf", "hit", "i", support), "c", support)
-    return got.withColumn("ap", F.round("ap", 6))
+    got = E.mean_average_precision(found, "c", "conf", "iou", "i", support)
+    return got.withColumns({c: F.round(c, 6) for c in ("map50", "map50_95")})
+
+
+@catalogue.add(f"""WITH {DETECTED}, m AS (SELECT c, max(CASE WHEN t = 0 THEN ap END) AS map50, avg(ap) AS map50_95 FROM a GROUP BY 1)
+SELECT count(*) AS classes, round(avg(map50), 6) AS map50, round(avg(map50_95), 6) AS map50_95 FROM m""")
+def macro_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over a fixed set of classes, which is undefined if one of them has no object."""
+    found, support = detections(spark, sf_dir)
+    got = E.mean_average_precision(found, "c", "conf", "iou", "i", support)
+    means = [F.when(F.count(c) == F.count("*"), F.round(F.avg(c), 6)).alias(c) for c in ("map50", "map50_95")]
+    return got.agg(F.count("*").alias("classes"), *means)
 
 
 @catalogue.add()
@@ -376,11 +373,12 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bootstrap(table(spark, sf_dir, "events"), "user_id", "value", ["event_type"], 200, 0.95, 3)
 
 
-@catalogue.add(f"""WITH {OCC}, a AS (SELECT doc_id, content_id FROM occ WHERE doc_id % 4 <> 0), b AS (SELECT doc_id, content_id FROM occ WHERE doc_id % 6 <> 0)
+@catalogue.add(f"""WITH {OCC}, a AS (SELECT lang, content_id FROM occ WHERE split <> 'val'), b AS (SELECT lang, content_id FROM occ WHERE split <> 'test')
 SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right, false AS equal""")
 def table_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = occurrences(spark, sf_dir).select("doc_id", "content_id")
-    return C.equal_tables(occ.where("doc_id % 4 <> 0"), occ.where("doc_id % 6 <> 0"))
+    """Two tables of contents, each without another split, compared as multisets."""
+    occ = occurrences(spark, sf_dir).select("lang", "content_id", "split")
+    return C.equal_tables(occ.where("split <> 'val'").drop("split"), occ.where("split <> 'test'").drop("split"))
 
 
 @catalogue.add("""SELECT 'positive' AS rule, count(*) FILTER (WHERE NOT coalesce(n_chars > 0, false)) AS violations FROM documents UNION ALL SELECT 'length', count(*) FILTER (WHERE NOT coalesce(length(text) = n_chars, false)) FROM documents

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
-from tidemark.functions.stats import distribution, pearson
+from tidemark.functions.stats import pearson
 from tidemark.operators import clusters as K
 from tidemark.operators import similarity as S
 from tidemark.plans.base import Catalogue, table
@@ -46,21 +46,23 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalogue.add(f"""WITH {PAIRS} SELECT count(v) AS count, {DIST} FROM p""")
 def cosine_pairs_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.pairs(vectors(spark, sf_dir)).agg(*distribution("score"))
+    return S.shown(S.pair_summary(vectors(spark, sf_dir))).drop("stratum")
 
 
-@catalogue.add(f"""WITH {PAIRS}, r AS (SELECT round(v, 9) AS v, la = lb AS same FROM p), c AS (SELECT q, quantile_cont(v, 0.9) AS t FROM r, (SELECT 0.9 AS q) GROUP BY q
-UNION ALL SELECT 0.99, quantile_cont(v, 0.99) FROM r UNION ALL SELECT 0.999, quantile_cont(v, 0.999) FROM r)
+#: The quantiles whose tails are compared as cohorts (fixed values).
+COHORTS = [0.9, 0.95, 0.975, 0.99, 0.995, 0.999]
+
+
+@catalogue.add(f"""WITH {PAIRS}, r AS (SELECT round(v, 9) AS v, la = lb AS same FROM p), c AS ({" UNION ALL ".join(f"SELECT {q} AS q, quantile_cont(v, {q}) AS t FROM r" for q in COHORTS)})
 SELECT CAST(q AS DOUBLE) AS quantile, round(t, 6) AS threshold, count(*) AS pairs, count(*) FILTER (WHERE same) AS flagged, round(avg(v), 6) AS mean FROM r JOIN c ON v >= t GROUP BY 1, 2""")
 def quantile_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = S.pairs(vectors(spark, sf_dir, "label"), S.BLOCK, "label").select(F.round("score", 9).alias("score"), (F.col("label_a") == F.col("label_b")).alias("same"))
-    got = S.quantile_cohorts(scored, [0.9, 0.99, 0.999], "same")
+    got = S.quantile_cohorts(vectors(spark, sf_dir, "label"), COHORTS, "label", 9)
     return got.withColumns({"threshold": F.round("threshold", 6), "mean": F.round("mean", 6)})
 
 
 @catalogue.add(f"""WITH {PAIRS} SELECT a, b, round(v, 6) AS score FROM p WHERE abs(v - 1) <= 0.55""")
 def near_unit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.near_unit(S.pairs(vectors(spark, sf_dir)), 0.55).select("a", "b", F.round("score", 6).alias("score"))
+    return S.near_unit(vectors(spark, sf_dir), 0.55).select("a", "b", F.round("score", 6).alias("score"))
 
 
 HALVES = """h AS (SELECT vec_id AS id, list_transform(embedding[1:32]::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding[1:32]::DOUBLE[], embedding[1:32]::DOUBLE[]))) AS x,
@@ -107,9 +109,12 @@ def cluster_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalogue.add(f"""WITH {PAIRS} SELECT la AS cluster, count(v) AS pairs, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3 FROM p WHERE la = lb GROUP BY 1""")
 def cluster_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.pairs(vectors(spark, sf_dir, "label"), S.BLOCK, "label").where("label_a = label_b")
-    quartiles = [F.round(F.percentile("score", F.lit(q)), 6).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    return own.groupBy(F.col("label_a").alias("cluster")).agg(F.count("score").alias("pairs"), F.round(F.avg("score"), 6).alias("mean"), *quartiles)
+    def own(p, q):
+        left, right = p["label"].to_numpy()[:, None], q["label"].to_numpy()[None, :]
+        return {str(k): (left == k) & (right == k) for k in sorted(set(p["label"]) & set(q["label"]))}
+
+    got = S.pair_summary(vectors(spark, sf_dir, "label"), own, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return S.shown(got).select(F.col("stratum").cast("int").alias("cluster"), F.col("count").alias("pairs"), "mean", "q1", "median", "q3")
 
 
 @catalogue.add(f"""WITH {DISTANCES}, g AS (SELECT q, lq, ln, avg(d) AS m FROM d WHERE lq <> 0 AND ln <> 0 GROUP BY 1, 2, 3),
@@ -221,14 +226,14 @@ def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dbscan(rows, K.effective_epsilon(K.k_distances(rows, 5), 0.1), 5)
 
 
-@catalogue.add("""WITH o AS (SELECT vec_id, label, list_transform(embedding[1:4]::DOUBLE[], lambda x: x) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-x AS (SELECT a.label, a.i AS cut, a.vec_id, d.d, sum(CASE WHEN b.i < a.i THEN b.v[d.d] END) AS l, sum(CASE WHEN b.i >= a.i THEN b.v[d.d] END) AS r FROM o a, (SELECT unnest([1, 2, 3, 4]) AS d) d, o b
-WHERE b.label = a.label AND b.i BETWEEN a.i - 5 AND a.i + 4 AND a.i > 5 AND a.i + 4 <= a.n GROUP BY 1, 2, 3, 4)
-SELECT label, vec_id, cut - 1 AS position, round(1 - sum(l * r) / (sqrt(sum(l * l)) * sqrt(sum(r * r))), 6) AS change FROM x GROUP BY 1, 2, 3""")
+@catalogue.add("""WITH o AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+e AS (SELECT label, i, n, vec_id, unnest(v) AS x, unnest(generate_series(1, len(v))) AS d FROM o),
+s AS (SELECT label, vec_id, i, n, d, sum(x) OVER (PARTITION BY label, d ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l, sum(x) OVER (PARTITION BY label, d ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS r FROM e)
+SELECT label, vec_id, i - 1 AS position, round(1 - sum(l * r) / (sqrt(sum(l * l)) * sqrt(sum(r * r))), 6) AS change FROM s WHERE i > 5 AND i + 4 <= n GROUP BY 1, 2, 3""")
 def changepoint_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.series import centroid_changes
 
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice(V.doubles(F.col("embedding")), 1, 4).alias("v"))
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", V.doubles(F.col("embedding")).alias("v"))
     got = centroid_changes(rows, "label", "vec_id", "v", 5)
     return got.where("change is not null").select("label", "vec_id", "position", F.round("change", 6).alias("change"))
 

@@ -34,7 +34,7 @@ def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def opened(archives: DataFrame, kinds: list[str], limits: Limits, contents: bool) -> DataFrame:
-    wanted = {e for k in kinds for e in KINDS.get(k, [])}
+    wanted = {e[1:] for k in kinds for e in KINDS.get(k, [])}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in MEMBER.split(", ")] + ["content"] * contents
