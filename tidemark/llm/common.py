@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.graph import components
+from tidemark.operators.joins import spread_join
 from tidemark.storage import FEW, cut, cut_counted, release, scratch, small, stored
 
-__all__ = ["FEW", "components", "cut", "cut_counted", "narrow", "release", "running", "scratch", "small", "stored"]
+__all__ = ["FEW", "components", "cut", "cut_counted", "narrow", "release", "running", "scratch", "small", "spread_join", "stored"]
 
 
 #: Rows of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.

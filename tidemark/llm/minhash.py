@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FEW, components, cut, cut_counted, release, small, stored
+from tidemark.llm.common import FEW, components, cut, cut_counted, release, small, spread_join, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows of either side of a block in which all pairs are compared, and cells of the word counts that rule pairs out, few first.
@@ -229,8 +227,8 @@ def links(block: pd.DataFrame, similarity: float, up: dict[int, int]) -> Iterato
                 yield min(row.id, int(ids[j])), max(row.id, int(ids[j]))
 
 
-def apart(now: DataFrame, reps: DataFrame, spelt: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that align, enough to join all roots of now(key, f, id, n, root) that any aligned pair of a bucket joins.
+def apart(now: DataFrame, reps: DataFrame, spelt: DataFrame, similarity: float, total: int) -> DataFrame:
+    """Pairs (a, b) that align, enough to join all roots of now(key, f, in, id, n, root) that any aligned pair of a bucket joins.
 
     The members outside a bucket's largest component meet all members, in a grid of blocks; a block has about BLOCK rows
     a side at most, so a bucket of any size is many tasks, and no pair is left out.
@@ -238,8 +236,8 @@ def apart(now: DataFrame, reps: DataFrame, spelt: DataFrame, similarity: float)
     sizes = now.groupBy("key", "root").agg(F.count("*").alias("in"))
     mixed_ = sizes.groupBy("key").agg(F.sum("in").alias("all"), F.max(F.struct("in", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     grid = {"rows": F.col("all") - F.col("top.in"), "columns": F.col("all")}
-    mixed_ = mixed_.select("key", F.col("top.root").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(a) for a, c in grid.items()])
-    some = stored(now.join(mixed_, "key"), "apart")
+    mixed_ = mixed_.select("key", "all", F.col("top.root").alias("top"), *[F.ceil(c / BLOCK).cast("int").alias(a) for a, c in grid.items()])
+    some = stored(spread_join(now.drop("in"), mixed_, "key", "id", "all", total), "apart")
     texts = spelt.join(some.select("id").distinct(), "id", "left_semi").join(reps.select("id", "keys"), "id")
     every = some.join(texts, "id")
     place = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
@@ -277,87 +275,81 @@ def apart(now: DataFrame, reps: DataFrame, spelt: DataFrame, similarity: float)
 
 def linked(pairs: DataFrame, n: int, spelt: DataFrame, similarity: float) -> tuple[DataFrame, int]:
     """The n pairs (a, b) whose letters align, and their number."""
-    # Few pairs go to the letters' partitions, many are shuffled to them.
-    one = spelt.select(F.col("id").alias("a"), "s").join(small(pairs, n), "a")
-    two = spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
-    if n <= FEW:
-        two = two.join(small(pairs, n), "b")
-    both = one.join(two, ["a", "b"] if n <= FEW else "b")
+    one, two = spelt.select(F.col("id").alias("a"), "s"), spelt.select(F.col("id").alias("b"), F.col("s").alias("t"))
+    if n <= FEW:  # few pairs go to the letters' partitions, many are shuffled to them
+        both = one.join(small(pairs, n), "a").join(two.join(small(pairs, n), "b"), ["a", "b"])
+    else:  # a centre has very many pairs, any other text a few
+        sizes = [pairs.groupBy(c).agg(F.count("*").alias("size")) for c in "ab"]
+        both = spread_join(pairs, one.join(sizes[0], "a"), "a", "b", "size", n).drop("size")
+        both = spread_join(both, two.join(sizes[1], "b"), "b", "a", "size", n)
     return cut_counted(verified(both, similarity).distinct())
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, k: int = 5, least: int = 3,
-            functions: int = 32, first_keys: tuple[int, ...] = (1, 4)) -> DataFrame:
+            functions: int = 32, first_keys: int = 4, turns: int = 4) -> DataFrame:
     """(doc_id, class_id, n_copies): one row a distinct id; the class is named by its smallest id.
 
     Equal texts are copies and are sketched on as one; n_copies counts a text's distinct ids. Texts that share a key
     are candidates, and are linked if their words align with at most (1 - similarity) x the longer length of edits; classes
-    are the connected components. Within a key's bucket every text is first aligned with a centre; while links are found,
-    buckets that still hold several components choose other centres, and then all pairs that are still apart are compared. Null counts as empty, and empty texts are copies of each other; under k words the whole text
-    is the one k-mer. Rows without an id are left out; rows that share an id share its class.
+    are the connected components. Within a bucket of the first keys every text is first aligned with a centre; buckets of
+    all keys that still hold several components then choose other centres, for some turns or until that hardly finds links, and
+    then all pairs that are still apart are compared, so turns save work and decide nothing. Null counts as empty, and empty
+    texts are copies of each other; under k words the whole text is the one k-mer. Rows without an id are left out; rows that
+    share an id share its class.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketch = stored(sketches(rows, k, least, functions), "sketches")
-    copies = sketch.groupBy("digest").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
-    copies = cut(copies)
-    reps = sketch.join(copies, "digest").where("id = rep").dropDuplicates(["digest"])
+    held = sketch.groupBy("digest", "id").agg(F.count("*").alias("rows"))
+    copies = cut(held.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.sum("rows").alias("rows")))
+    first = copies.select("digest", F.col("rep").alias("id"))
+    reps = sketch.join(first, ["digest", "id"]).dropDuplicates(["digest"])  # no hot key: an id has its own texts only
     buckets = reps.select("id", "n", F.posexplode("keys").alias("f", "key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("in")).where(F.col("in") > 1).select("key")
-    members = stored(buckets.join(shared, "key"), "buckets")
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("in")).where(F.col("in") > 1))
+    total = shared.agg(F.sum("in")).first()[0] or 0
+    members = stored(spread_join(buckets, shared, "key", "id", "in", total), "buckets")
     # Only the texts that may be aligned are needed further on.
     wanted = members.select("id").distinct()
     spelt = stored(rows.join(wanted, "id", "left_semi").select("id", letters(F.col("text")).alias("s")).distinct(), "letters")
 
-    tried = roots = None
-    n_tried = n_roots = 0
+    roots = None
+
     def rooted(some: DataFrame) -> DataFrame:
         if roots is None:
             return some.withColumn("root", F.col("id"))
-        return some.join(small(roots, n_roots), some.id == roots.node, "left").select("key", "f", "id", "n", F.coalesce("root", "id").alias("root"))
+        return some.join(roots, some.id == roots.node, "left").select("key", "f", "in", "id", "n", F.coalesce("root", "id").alias("root"))
 
     def joined(found: DataFrame) -> DataFrame:
-        return components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    for turn in count():
-        # The first keys join most groups at the cost of one centre a text; all keys then see what is still apart.
-        now = members.where(F.col("f") < first_keys[turn]) if turn < len(first_keys) else members
-        now = rooted(now)
-        order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        centre = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"))
-        centre = centre.where("x <> y").select("key", "c")
-        pairs = now.join(centre, "key").where("root <> c.root").where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+        return cut(components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+
+    for turn in range(turns):
+        # The first keys join most groups at the cost of few centres a text; all keys then see what is still apart.
+        now = rooted(members if turn else members.where(F.col("f") < first_keys))
+        order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
+        centre = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.first("in").alias("in"))
+        centre = centre.where("x <> y").select("key", "c", F.col("in").alias("size"))
+        pairs = spread_join(now.drop("in"), centre, "key", "id", "size", total).where("root <> c.root").where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
         # A text tries one centre of each other component a turn: one link is enough to join them.
         pairs = pairs.groupBy("id", "c.root").agg(F.min("c.id").alias("c"))
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(small(tried, n_tried), ["a", "b"], "left_anti")
-        pairs, n = cut_counted(pairs)
-        whole = turn - len(first_keys)
+        pairs, n = cut_counted(pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct())
         if not n:
-            if whole >= 1:
-                break
             continue
-        tried, n_tried = pairs if tried is None else tried.unionByName(pairs), n_tried + n
         found, m = linked(pairs, n, spelt, similarity)
+        if m:
+            roots = joined(found)
         release(docs.sparkSession)
-        if not m:
-            if whole >= 1:
-                break
-            continue
-        roots = joined(found)
-        n_roots += 2 * m  # at most
-        if whole >= 0 and m * FEWER < n:
+        if turn and m * FEWER < n:
             break
 
     # What centres left: all pairs of different components in a bucket.
-    found, m = cut_counted(apart(rooted(members).select("key", "f", "id", "n", "root"), reps, spelt, similarity))
+    found, m = cut_counted(apart(rooted(members), reps, spelt, similarity, total))
     if m:
         roots = joined(found)
     release(docs.sparkSession)
 
     if roots is None:
-        named = copies.select("digest", "copies", F.col("rep").alias("class"))
+        named = copies.withColumn("class", F.col("rep"))
     else:
-        named = copies.join(roots, copies.rep == roots.node, "left").select("digest", "copies", F.coalesce("root", "rep").alias("class"))
-    got = sketch.select("id", "digest").join(named, "digest")
+        named = copies.join(roots, copies.rep == roots.node, "left").withColumn("class", F.coalesce("root", "rep"))
+    named = named.select("digest", "copies", "rows", "class")
+    got = spread_join(sketch.select("id", "digest"), named, "digest", "id", "rows", copies.agg(F.sum("rows")).first()[0] or 0)
     return got.groupBy("id").agg(F.min("class").alias("class_id"), F.max("copies").alias("n_copies")).withColumnRenamed("id", "doc_id")
