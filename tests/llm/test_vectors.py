@@ -16,12 +16,13 @@ def clustered(n=400, dims=8, seed=0):
     return x.astype("float32")
 
 
-@pytest.mark.parametrize("cell, block", [(40, 16), (4096, 2048)])
-def test_range_join_against_brute_force(spark, cell, block):
+@pytest.mark.parametrize("copy, block", [(0, 16), (1000, 100), (1000, None)])
+def test_range_join_against_brute_force(spark, monkeypatch, copy, block):
+    monkeypatch.setattr(ranges, "COPY", copy)  # 0: as many cells as there are pivots
     x = clustered()
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + ODD + [(None, [1.0] * 8)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as id", "'h' as h")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in ranges.joined(df, cell=cell, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ranges.joined(df, block=block).collect()}
     u = x.astype(float)
     u /= np.linalg.norm(u, axis=1)[:, None]
     link = u @ u.T >= 0.95
@@ -76,4 +77,38 @@ def test_search_with_few_rows_and_none(spark):
 
 def test_bins_hold_every_row_of_a_large_leaf():
     bins = ann.packed({0: 10, 1: 5000, 2: 3, 3: 4}, 1000)
-    assert len(bins[1]) == 5 and bins[2] == bins[3] and set(bins[0]).isdisjoint(bins[1])
+    first, parts = bins[1]
+    assert parts == 5 and bins[2] == bins[3] == (first + 5, 1) and bins[0] == (0, 1) and first == 1
+
+
+def test_vectors_of_every_length_meet_their_own(spark):
+    """Links and neighbours within each length, also of rare ones; most queries of another length than most rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 200, 2)] + [(i, rng.normal(size=2).tolist()) for i in range(0, 100, 2)]
+    rows += [(1000, [1.0, 2.0, 3.0]), (1002, [1.0, 2.0, 3.01]), (1004, [5.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    vectors = {i: np.asarray(v, "float32").astype(float) for i, v in rows}
+    cosine = lambda a, b: (a @ b) / np.sqrt((a @ a) * (b @ b))
+    got = {r.vec_id: r.n_links for r in ranges.joined(df, block=16).collect()}
+    assert got == {i: sum(len(v) == len(w) and i != j and cosine(v, w) >= 0.95 for j, w in vectors.items()) for i, v in vectors.items()}
+    found = {}
+    for r in ann.search(df, df.where("vec_id % 2 = 0"), recall=1.0, leaf=16).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 50, 98, 1000, 1002):
+        own = sorted((np.sqrt(((w - vectors[q]) ** 2).sum()), j) for j, w in vectors.items() if j != q and len(w) == len(vectors[q]))[:10]
+        assert [j for _, j in sorted(found[q])] == [j for _, j in own]
+    assert 1004 not in found
+
+
+def test_a_query_id_with_two_vectors_has_two_lists(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(0, [29.0, 2.0])] * 2, SCHEMA)
+    got = ann.search(df, df.where("vec_id = 0")).collect()
+    assert sorted(r["rank"] for r in got) == sorted([*range(1, 11)] * 2)
+    assert {r.vec_id for r in got} == {*range(1, 11), *range(20, 30)}
+
+
+def test_queries_come_in_lots(spark):
+    x = clustered(300, seed=4)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA)
+    of = lambda **o: sorted(map(tuple, ann.search(df, df, **o).collect()))
+    assert of(lot=7) == of()

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
-from tidemark.llm.vectors import bounded_sample, matrix, taking_part
+from tidemark.llm.common import cut, spread_join, stored
+from tidemark.llm.vectors import bounded_sample, by_length, matrix, taking_part
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -91,123 +91,204 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, turns: int = 8) -> n
     return c
 
 
-def brute(rows: DataFrame, queries: pd.DataFrame, k: int, columns: list[str]) -> DataFrame:
-    """The k nearest rows of each of a bounded set of queries (id, v), by a stream over all rows: (q, d, id, *columns)."""
-    ids, x = queries["id"].to_numpy(), matrix(queries["v"])
+class Nearest:
+    """The k nearest rows so far of each of a fixed set of queries (id, v) of one length, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.square = (x * x).sum(axis=1)
+        self.limit = np.full(len(ids), np.inf)
+        self.best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query, distance, id, extra
+
+    def add(self, ids: np.ndarray, y: np.ndarray, extra: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Rows to choose from; `allowed` says by query which ones. Single rows are measured exactly, all others ruled out by a
+        bound on the rounding of the product form."""
+        if not len(ids) or not len(self.ids):
+            return
+        square = (y * y).sum(axis=1)
+        near = self.square[:, None] + square[None, :] - 2 * self.x @ y.T
+        slack = 1e-12 * y.shape[1] * (self.square.max(initial=0) + square.max(initial=0))
+        off = self.ids[:, None] == ids[None, :]
+        near[off if allowed is None else off | ~allowed] = np.inf
+        k = min(self.k, near.shape[1])
+        bound = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], self.limit) + 2 * slack
+        q, j = np.nonzero((near <= bound[:, None]) & np.isfinite(near))
+        d = np.empty(len(q))
+        for s in range(0, len(q), 50_000):
+            gap = y[j[s : s + 50_000]] - self.x[q[s : s + 50_000]]
+            d[s : s + 50_000] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        q, d, i, e = (np.concatenate(c) for c in zip(self.best, (q, d, ids[j], extra[j])))
+        order = np.lexsort((i, d, q))
+        q, d, i, e = q[order], d[order], i[order], e[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.best = [q[keep], d[keep], i[keep], e[keep]]
+        full = self.best[0][place[keep] == self.k - 1]
+        self.limit[full] = self.best[1][place[keep] == self.k - 1] ** 2
+
+
+def brute(rows: DataFrame, queries: pd.DataFrame, k: int, extra: str) -> DataFrame:
+    """The k nearest rows of each of a bounded set of queries (id, v), by a stream over all rows: (q, d, id, extra); q is the
+    query's place in the set."""
+    asked = [(at, queries["id"].to_numpy()[at], matrix(queries["v"].iloc[at])) for at in by_length(queries["v"]).values()]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = [pd.DataFrame()] * len(ids)
+        found = {x.shape[1]: (at, Nearest(ids, x, k)) for at, ids, x in asked}
         for pdf in batches:
-            y = matrix(pdf["v"])
-            for j, (q, v) in enumerate(zip(ids, x)):
-                own = pdf[["id", *columns]].assign(q=q, d=distances(v, y) if len(y) else [])
-                own = own[own["id"] != q]
-                best[j] = pd.concat([best[j], own.nsmallest(k, ["d", "id"])]).nsmallest(k, ["d", "id"])
-        for b in best:
-            if len(b):
-                yield b[["q", "d", "id", *columns]]
-
-    extra = "".join(f", {c} {dict(rows.dtypes)[c]}" for c in columns)
-    found = rows.select("id", "v", *columns).mapInPandas(scan, f"q long, d double, id long{extra}")
+            for d, own in by_length(pdf["v"]).items():
+                if d in found:
+                    some = pdf.iloc[own]
+                    found[d][1].add(some["id"].to_numpy(), matrix(some["v"]), some[extra].to_numpy())
+        for at, best in found.values():
+            q, d, i, e = best.best
+            yield pd.DataFrame({"q": at[q], "d": d, "id": i, extra: e})
+
+    found = rows.select("id", "v", extra).mapInPandas(scan, f"q long, d double, id long, {extra} long")
     w = Window.partitionBy("q").orderBy("d", "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding",
-           sample: int = 20_000, branch: int = 8, leaf: int = 256, probes: int = 128, block: int = 4096) -> DataFrame:
+           sample: int = 20_000, branch: int = 8, leaf: int = 256, probes: int = 128, block: int = 4096, lot: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows of df found, by Euclidean distance in double precision.
 
-    The tree is fit on at most `sample` vectors and indexes every row. Best-bin-first visits widen until `recall` of
-    the true neighbours of `probes` sampled rows, found by brute force over all rows, lies in the leaves visited; that
-    many leaves are visited for each query. Leaves are packed into bins of about `block` rows, a leaf with very many rows into
-    many; a query goes to the bins of its leaves, and the k best of each are merged. A query's own row (same id) is no candidate; ties go to the smaller
-    id; rows that share an id are separate. Null, zero and non-finite vectors, and those of another length than most, take no part.
+    Vectors are compared with vectors of their own length; each length that the sample has is a tree of its own. Trees are fit
+    on at most `sample` vectors and index every row. Best-bin-first visits widen until `recall` of the true neighbours of
+    `probes` sampled rows of the length, found by brute force over all rows, lies in the leaves visited; that many leaves are
+    visited for each query. Leaves are packed into bins of about `block` rows, a leaf with very many rows into many. A task
+    holds a bin and streams the queries that visit it; a bin that very many visit is copied, once a `lot` of queries. The k
+    best of each bin are merged. A query's own row (same id) is no candidate; ties go to the smaller id; query rows that share
+    an id are separate, equal ones are one. Null, zero and non-finite vectors take no part.
     """
     spark = df.sparkSession
     rows = taking_part(df, vec_id, vector)
-    fit = bounded_sample(rows, sample, 17)
-    if not len(fit):
+    lengths = [r.d for r in rows.groupBy(F.size("v").alias("d")).count().collect()]  # one row a length
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = Tree.fit(fit, branch, leaf)
+    seen, trees, first, at = bounded_sample(rows, sample, 17), {}, {}, 0
+    for d in sorted(lengths):
+        trees[d] = Tree.fit(seen[d] if d in seen else np.zeros((1, d)), branch, leaf)  # a length that the sample hasn't is one leaf
+        first[d], at = at, at + len(trees[d].leaf)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=tree.assign(matrix(pdf["v"])) if len(pdf) else np.zeros(0, np.int64))
-
-    indexed = stored(rows.mapInPandas(assign, "id long, v array<double>, leaf long"), "index")
-    sizes = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf of the tree
-    width = calibrated(tree, indexed, k, recall, probes)
+            out = np.zeros(len(pdf), np.int64)
+            for d, own in by_length(pdf["v"]).items():
+                out[own] = trees[d].assign(matrix(pdf["v"].iloc[own])) + first[d]
+            yield pdf.assign(leaf=out)
+
+    kind = dict(rows.dtypes)["v"]
+    indexed = stored(rows.mapInPandas(assign, f"id long, v {kind}, leaf long"), "index")
+    sizes = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf of the trees
+    width = calibrated(trees, first, indexed, k, recall, probes)
     bins = packed(sizes, block)
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query goes once to each bin that it visits, with its leaves there."""
+        names = ["id", "v", "bin", "leaves"]
         for pdf in batches:
             out = []
             for i, v in zip(pdf["id"], pdf["v"]):
-                seen: dict[int, list[int]] = {}
-                for _, f in zip(range(width), tree.order(np.asarray(v, np.float64))):
-                    for b in bins.get(f, ()):
-                        seen.setdefault(b, []).append(f)
-                out += [(i, v, b, fs) for b, fs in seen.items()]
+                here: dict[int, list[int]] = {}
+                if (d := len(v)) in trees:
+                    for _, f in zip(range(width[d]), trees[d].order(np.asarray(v, np.float64))):
+                        start, parts = bins.get(f + first[d], (0, 0))
+                        for b in range(start, start + parts):
+                            here.setdefault(b, []).append(f + first[d])
+                out += [(i, v, b, fs) for b, fs in here.items()]
                 if len(out) > 2000:
-                    yield pd.DataFrame(out, columns=["id", "v", "bin", "leaves"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            yield pd.DataFrame(out, columns=["id", "v", "bin", "leaves"])
+            yield pd.DataFrame(out, columns=names)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = [bins[f][h % len(bins[f])] for f, h in zip(pdf["leaf"], pdf["h"])]
+            at = [bins[f][0] + h % bins[f][1] for f, h in zip(pdf["leaf"], pdf["h"])]
             yield pdf.drop(columns="h").assign(bin=np.array(at, np.int64))
 
     asked = taking_part(queries, vec_id, vector).distinct()
-    asked = stored(asked.mapInPandas(visits, "id long, v array<double>, bin long, leaves array<long>"), "visits")
-    # Queries of a bin come in lots too, so no group holds all queries of the table.
-    last = max(b for own in bins.values() for b in own)
-    many = max(1, math.ceil(asked.count() / (last + 1) / 1024))
-    cells = indexed.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).mapInPandas(place, "id long, v array<double>, leaf long, bin long")
-    cells = cells.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
-    asked = asked.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(many)).cast("long"))
-
-    def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(c):
-            y, ids, leaf_of = matrix(c["v"]), c["id"].to_numpy(), c["leaf"].to_numpy()
-            for i, v, fs in zip(q["id"], q["v"], q["leaves"]):
-                at = np.flatnonzero(np.isin(leaf_of, fs) & (ids != i))
-                d = distances(np.asarray(v, np.float64), y[at])
-                if len(at) > k:
-                    near = d <= np.partition(d, k - 1)[k - 1]
-                    at, d = at[near], d[near]
-                first = np.lexsort((ids[at], d))[:k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[at[first]], "score": d[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    keys = ["bin", "lot"]
-    found = asked.groupBy(*keys).cogroup(cells.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    asked = stored(asked.mapInPandas(visits, f"id long, v {kind}, bin long, leaves array<long>"), "visits")
+    visited = cut(asked.groupBy("bin").agg(F.count("*").alias("n")).withColumn("lots", F.ceil(F.col("n") / lot).cast("int")))
+    cells = indexed.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 31))).mapInPandas(place, f"id long, v {kind}, leaf long, bin long")
+    cells = cells.join(visited, "bin").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    cells = cells.select("bin", "lot", F.lit(0).alias("asks"), "id", "v", F.array("leaf").alias("leaves"))
+    total = visited.agg(F.sum("n")).first()[0] or 0
+    asked = spread_join(asked, visited, "bin", "id", "n", total).withColumn("lot", F.pmod(F.xxhash64("id", F.lit(6)), F.col("lots")).cast("int"))
+    both = cells.unionByName(asked.select("bin", "lot", F.lit(1).alias("asks"), "id", "v", "leaves"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[["bin", "lot", "asks"]].to_numpy()
+            ends = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(pdf)]
+            for s, e in zip(ends, ends[1:]):
+                b, n, asks = key[s]
+                if (b, n) != now:
+                    now, held = (b, n), []
+                if not asks:
+                    held.append(pdf.iloc[s:e])
+                elif held:
+                    held = [pd.concat(held)] if len(held) > 1 else held
+                    yield answered(pdf.iloc[s:e], held[0], k)
+
+    laid = both.repartition("bin", "lot").sortWithinPartitions("bin", "lot", "asks")
+    found = laid.mapInPandas(scan, "query_id long, form long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "form").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def packed(sizes: dict[int, int], block: int) -> dict[int, list[int]]:
-    """The bins of each leaf: neighbouring leaves share one of about `block` rows, a larger leaf has several of its own."""
+def answered(asked: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of a bin's rows to each query, within the leaves that it visits; `form` tells vectors of one query id apart."""
+    from xxhash import xxh3_64_intdigest
+
+    ids, leaves, out = rows["id"].to_numpy(), np.array([x[0] for x in rows["leaves"]], np.int64), []
+    vectors = by_length(rows["v"])
+    for d, own in by_length(asked["v"]).items():
+        if d not in vectors:
+            continue
+        at, some = vectors[d], asked.iloc[own]
+        y, x = matrix(rows["v"].iloc[at]), matrix(some["v"])
+        for s in range(0, len(some), 256):
+            part = some.iloc[s : s + 256]
+            allowed = np.stack([np.isin(leaves[at], f) for f in part["leaves"]])
+            best = Nearest(part["id"].to_numpy(), x[s : s + 256], k)
+            best.add(ids[at], y, ids[at], allowed)
+            q, dist, i, _ = best.best
+            form = np.array([xxh3_64_intdigest(v.tobytes()) >> 1 for v in x[s : s + 256]], np.int64)
+            out.append(pd.DataFrame({"query_id": part["id"].to_numpy()[q], "form": form[q], "vec_id": i, "score": dist}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "form": [], "vec_id": [], "score": []})
+
+
+def packed(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """The first bin of each leaf and how many it has: neighbouring leaves share one of about `block` rows, a larger leaf has
+    several of its own."""
     bins, at, held = {}, 0, 0
     for f, n in sorted(sizes.items()):
         if held and held + n > block:
             at, held = at + 1, 0
         parts = max(1, math.ceil(n / block))
-        bins[f] = list(range(at, at + parts))
+        bins[f] = at, parts
         at, held = at + parts - 1, held + n if parts == 1 else block
     return bins
 
 
-def calibrated(tree: Tree, indexed: DataFrame, k: int, recall: float, probes: int) -> int:
-    """How many leaves to visit so that `recall` of the probes' true neighbours lie in them."""
-    h = F.xxhash64(F.lit(29), "id")
-    asked = indexed.orderBy(h, "id").limit(probes).select("id", "v").toPandas()
-    truth = brute(indexed, asked, k, ["leaf"]).select("q", "leaf").toPandas()
-    where = {}
-    for q, v in zip(asked["id"], asked["v"]):
-        at = {f: n for n, f in enumerate(tree.order(np.asarray(v, np.float64)))}
-        where[q] = at
-    need = np.sort([where[q][f] + 1 for q, f in zip(truth["q"], truth["leaf"])])
-    return int(need[max(0, math.ceil(recall * len(need)) - 1)]) if len(need) else len(tree.leaf)
+def calibrated(trees: dict[int, Tree], first: dict[int, int], indexed: DataFrame, k: int, recall: float, probes: int) -> dict[int, int]:
+    """How many leaves of each tree to visit so that `recall` of its probes' true neighbours lie in them."""
+    width = {d: len(t.leaf) for d, t in trees.items()}
+    several = [d for d, n in width.items() if n > 1]
+    if not several:
+        return width
+    w = Window.partitionBy(F.size("v")).orderBy(F.xxhash64(F.lit(29), "id"), "id")
+    some = indexed.where(F.size("v").isin(several)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= probes)
+    asked = some.select("id", "v").toPandas()  # `probes` rows a tree
+    truth = brute(indexed, asked, k, "leaf").select("q", "leaf").toPandas()
+    order = [{f: n for n, f in enumerate(trees[len(v)].order(np.asarray(v, np.float64)))} for v in asked["v"]]
+    size = np.array([len(v) for v in asked["v"]])
+    for d in several:
+        own = truth[size[truth["q"].to_numpy(int)] == d]
+        need = np.sort([order[q][f - first[d]] + 1 for q, f in zip(own["q"], own["leaf"])])
+        if len(need):
+            width[d] = int(need[max(0, math.ceil(recall * len(need)) - 1)])
+    return width
