@@ -27,8 +27,8 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
 SHARES = 1024
 
 
-def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, size: str, total: int) -> DataFrame:
-    """rows.join(one, key), with a hot key's rows dealt over many tasks by the hash of `by`.
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows.join(one, key, how), inner or left, with a hot key's rows dealt over many tasks by the hash of `by`.
 
     `one` has one row a key; its column `size` counts the key's rows, and `total` is their sum or more. Keys with more than
     total / SHARES rows are fewer than SHARES, which bounds what is broadcast; their rows of `one` are repeated, once a part.
@@ -38,7 +38,7 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, size: str, t
     hot = one.where(F.col(size) > level).select(key, parts.alias("__parts"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     last = F.when(F.col(size) > level, parts - 1).otherwise(0)
-    return dealt.join(one.withColumn("__part", F.explode(F.sequence(F.lit(0), last))), [key, "__part"]).drop("__part")
+    return dealt.join(one.withColumn("__part", F.explode(F.sequence(F.lit(0), last))), [key, "__part"], how).drop("__part")
 
 
 def match(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], names: tuple[str, str, str]) -> DataFrame:
