@@ -6,11 +6,15 @@ split with the same pattern, so a match begins where the lengths before it end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PLACED = "struct<start:int,end:int,value:string,before:string,after:string>"
+#: Matches whose outputs are gathered at once.
+BLOCK = 256
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 
 
@@ -26,6 +30,7 @@ class Kind:
     hint: str | None = None  # a literal that every match holds
     needs_words: bool = False
     base: bool = True
+    least: int = 2  # code points of the shortest match
     prefixes: bool = False  # the pattern takes a match's beginning and has the longest match as group 1; see `longest`
 
 
@@ -33,13 +38,13 @@ class Kind:
 #: run that fails at its first character fails at every later one.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.9, "mail|contact|write|reply", "@"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0.6, "ip|host|server|address|client", "."),
+         r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.9, "mail|contact|write|reply", "@", least=5),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 0.6, "ip|host|server|address|client", ".", least=7),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9])+", 0.7, "card|visa|credit|debit|pay|mastercard"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "tel|phone|call|mobile|fax|whatsapp", "+"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "tel|phone|call|mobile|fax|whatsapp", "+", least=4),
     Kind("iban", r"\b(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b))[A-Z]{2}[0-9]{2}", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 0.8,
-         "iban|bank|account|konto|compte|cuenta", base=False, prefixes=True),
-    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.3, "ssn|social|security", "-", True, False),
+         "iban|bank|account|konto|compte|cuenta", base=False, least=4, prefixes=True),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.3, "ssn|social|security", "-", True, False, least=11),
 )
 #: A part of an address: at most 255, leading zeros allowed.
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -97,17 +102,40 @@ def longest(kind: Kind, value: Column) -> Column:
     return F.coalesce(F.get(fine, F.lit(0)), F.lit(""))
 
 
+def folded(items: Column, state: str, first: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
+    """The outputs of a fold over an array: step(state, item) gives the next state, an output, and whether it is kept.
+
+    Appending to an array copies it, so outputs are gathered in blocks of BLOCK items: the work is close to linear in the items,
+    however many a text has.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out, keep = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.when(keep, F.concat(acc["out"], F.array(out))).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        # Bound once, since both of its parts are used.
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), F.lit(0))
+
+    def run(xs: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        cut = F.transform(places, lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))
+        zero = F.struct(first.cast(state).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(xs) > 0, F.aggregate(cut, zero, block, lambda acc: F.flatten(acc["out"]))).otherwise(none)
+
+    return F.get(F.transform(F.array(items), run), F.lit(0))  # binds the items once
+
+
 def apart(spans: Column) -> Column:
-    """The spans (start, end, value) of values by start that aren't empty and begin after the one kept before has ended."""
+    """The spans (start, end, value, before, after) that aren't empty and begin after the one kept before has ended."""
 
-    def step(acc: Column, x: Column) -> Column:
-        end = x["start"] + F.length(x["value"])
-        own = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["value"].alias("value")))
-        keep = (x["value"] != "") & (x["start"] >= acc["at"])
-        return F.struct(F.when(keep, end).otherwise(acc["at"]).alias("at"), F.when(keep, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        keep = (x["value"] != "") & (x["start"] >= at)
+        return F.when(keep, x["end"]).otherwise(at), x, keep
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+    return folded(spans, "int", F.lit(0), step, PLACED)
 
 
 def found(text: Column, order: int, kind: Kind) -> Column:
@@ -115,30 +143,55 @@ def found(text: Column, order: int, kind: Kind) -> Column:
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.prefixes else 0))
     if kind.hint:
         matches = F.when(text.contains(kind.hint), matches).otherwise(F.array().cast("array<string>"))
-    pairs = F.arrays_zip(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
 
-    def place(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + (F.lit(4) if kind.prefixes else F.length(x["m"]))
-        own = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+    wide = NEAR + 64 if kind.prefixes else NEAR  # a value is 64 code points at most
+
+    def placed(ms: Column, ps: Column) -> Column:
+        """The matches with their places, and what stands near them. A match's beginning alone is cut out of the text before it."""
+        own = F.transform(F.arrays_zip(F.slice(ps, F.lit(1), F.size(ms)).alias("p"), ms.alias("m")), lambda x: F.struct(x["p"].alias("p"), x["m"].alias("m"), (F.substr(x["m"], F.lit(1), F.lit(4)) if kind.prefixes else x["m"]).alias("w")))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+            start = at + F.length(x["p"])
+            end = start + F.length(x["w"])
+            return end, F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")), F.lit(True)
+
+        at = folded(own, "int", F.lit(0), step, "struct<start:int,end:int,value:string>")
+        at = F.transform(at, lambda x, i: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), i.alias("i")))
+        if not kind.prefixes:
+            at = F.filter(at, lambda x: confirmed(kind, x["value"]))
+        # Only the ends of the pieces around a match are read, so its surroundings cost the same wherever it stands.
+        def end(p: Column, w: Column) -> Column:
+            return F.struct(F.right(p, F.lit(NEAR)).alias("last"), F.left(p, F.lit(wide)).alias("first"), F.left(w, F.lit(wide)).alias("m"), F.right(w, F.lit(NEAR)).alias("n"))
+
+        rest = F.slice(ps, F.size(ms) + 1, F.lit(1))
+        ends = F.concat(F.transform(own, lambda x: end(x["p"], x["w"])), F.transform(rest, lambda p: end(p, F.lit(""))))
+
+        def surrounded(ends: Column) -> Column:
+            def one(x: Column) -> Column:
+                i, low = x["i"], F.greatest(x["i"] - -(-NEAR // kind.least), F.lit(0))
+                before = F.concat(F.array_join(F.transform(F.slice(ends, low + 1, i - low), lambda e: F.concat(e["last"], e["n"])), ""), F.get(ends, i)["last"])
+                after = F.array_join(F.transform(F.slice(ends, i + 2, F.lit(-(-wide // kind.least))), lambda e: F.concat(e["first"], e["m"])), "")
+                return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(wide)).alias("after"))
+
+            return F.transform(at, one)
+
+        return F.get(F.transform(F.array(ends), surrounded), F.lit(0))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    placed = F.aggregate(pairs, zero, place, lambda acc: acc["out"])
+    pieces = F.split(text, kind.pattern, -1)
+    both = F.array(F.struct(matches.alias("ms"), pieces.alias("ps")))
+    spans = F.get(F.transform(both, lambda x: placed(x["ms"], x["ps"])), F.lit(0))  # binds both
     if kind.prefixes:
-        placed = apart(F.transform(placed, lambda x: F.struct(x["start"].alias("start"), longest(kind, x["value"]).alias("value"))))
-    else:
-        placed = F.filter(placed, lambda x: confirmed(kind, x["value"]))
+        shorter = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), longest(kind, x["value"]).alias("value"), x["before"].alias("before"), x["after"].alias("after")))
+        # What comes after a match's beginning begins with the rest of its value.
+        rest = lambda x: F.substr(x["after"], F.length(x["value"]) - 3, F.lit(NEAR))
+        spans = apart(F.transform(shorter, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["before"].alias("before"), rest(x).alias("after"))))
 
     def scored(x: Column) -> Column:
-        first = F.greatest(x["start"] - NEAR, F.lit(0))
-        before = F.substr(text, first + 1, x["start"] - first)
-        after = F.substr(text, x["end"] + 1, F.lit(NEAR))
-        near = F.concat(before, F.lit(" "), after).rlike(rf"(?i)\b(?:{kind.words})")
+        near = F.concat(x["before"], F.lit(" "), x["after"]).rlike(rf"(?i)\b(?:{kind.words})")
         score = F.lit(kind.score) + F.when(near, BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 3).alias("score"))
 
-    spans = F.transform(placed, scored)
+    spans = F.transform(spans, scored)
     if kind.needs_words:
         spans = F.filter(spans, lambda x: x["score"] >= ACCEPT)
     return F.when(F.size(matches) > 0, spans).otherwise(F.array()).cast(SPAN)
