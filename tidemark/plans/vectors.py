@@ -144,7 +144,11 @@ def assignment_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.agreement(assignments(spark, sf_dir), "u", "v")
 
 
-@catalogue.add()
+@catalogue.add(f"""WITH {ASSIGN}, c AS (SELECT u, v, count(*) AS n FROM x GROUP BY 1, 2), a AS (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY u), b AS (SELECT sum(n)::DOUBLE AS n FROM c GROUP BY v), t AS (SELECT sum(n)::DOUBLE AS t FROM c),
+h AS (SELECT ln(t) - (SELECT sum(n * ln(n)) FROM a) / t AS hu, ln(t) - (SELECT sum(n * ln(n)) FROM b) / t AS hv, ln(t) - (SELECT sum(n * ln(n)) FROM c) / t AS joint FROM t),
+k AS (SELECT a.n AS p, b.n AS q, t, unnest(generate_series(CAST(greatest(1, a.n + b.n - t) AS BIGINT), CAST(least(a.n, b.n) AS BIGINT))) AS m FROM a, b, t),
+e AS (SELECT sum(m / t * ln(t * m / (p * q)) * exp(lgamma(p + 1) + lgamma(q + 1) + lgamma(t - p + 1) + lgamma(t - q + 1) - lgamma(t + 1) - lgamma(m + 1) - lgamma(p - m + 1) - lgamma(q - m + 1) - lgamma(t - p - q + m + 1))) AS e FROM k)
+SELECT round((hu + hv - joint - e) / ((hu + hv) / 2 - e), 6) AS ami FROM h, e""")
 def assignment_ami(spark: SparkSession, sf_dir: str) -> DataFrame:
     ami = K.adjusted_mutual_information(assignments(spark, sf_dir), "u", "v")
     return spark.createDataFrame([(round(ami, 6) if ami is not None else None,)], "ami double")
@@ -220,7 +224,10 @@ def k_distance_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("points"), *[F.round(F.percentile("distance", F.lit(q / 100)), 6).alias(f"q{q}") for q in (25, 50, 90)])
 
 
-@catalogue.add()
+@catalogue.add(f"""WITH RECURSIVE {DISTANCES}, o AS (SELECT q, round(d, 6) AS d, row_number() OVER (PARTITION BY q ORDER BY round(d, 6)) AS i FROM d), m AS (SELECT quantile_cont(d, 0.1) AS eps FROM o WHERE i = 4), l AS (SELECT q AS a, n AS b FROM d, m WHERE d.d <= eps),
+c AS (SELECT id FROM e LEFT JOIN l ON a = id GROUP BY id HAVING count(b) + 1 >= 5), x AS (SELECT a, b FROM l WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)), w AS (SELECT id AS n, id AS r FROM c UNION SELECT x.b, w.r FROM w JOIN x ON x.a = w.n),
+g AS (SELECT n AS id, min(r) AS root FROM w GROUP BY 1), k AS (SELECT root, CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS cluster FROM (SELECT DISTINCT root FROM g)), f AS (SELECT id, cluster FROM g JOIN k USING (root)),
+h AS (SELECT a AS id, min(cluster) AS cluster FROM l JOIN f ON f.id = l.b WHERE a NOT IN (SELECT id FROM c) GROUP BY 1) SELECT e.id, coalesce(f.cluster, h.cluster, -1) AS cluster FROM e LEFT JOIN f ON f.id = e.id LEFT JOIN h ON h.id = e.id""")
 def dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     return K.dbscan(rows, K.effective_epsilon(K.k_distances(rows, 5), 0.1), 5)
