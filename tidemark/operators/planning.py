@@ -8,7 +8,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import stable_id
+from tidemark.sources.tables import identity
 
 
 def expand_grid(fixed: dict, axes: dict[str, list], most: int = 256) -> list[dict]:
@@ -16,7 +16,7 @@ def expand_grid(fixed: dict, axes: dict[str, list], most: int = 256) -> list[dic
     out, seen = [], set()
     for values in itertools.product(*axes.values()):
         config = fixed | dict(zip(axes, values))
-        if (key := stable_id(config)) not in seen:
+        if (key := identity(config)) not in seen:
             seen.add(key)
             out.append(config)
     if len(out) > most:

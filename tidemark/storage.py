@@ -14,11 +14,14 @@ FEW = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one, but only where all
+    is one machine's (tests); a cluster must name one."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder and context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
-        folder = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
