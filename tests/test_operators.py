@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,40 @@ def test_average_precision_of_perfect_and_missing_classes(spark):
     assert got["a"] == pytest.approx(1.0, abs=0.011) and got["b"] == 0.0 and got["z"] is None
 
 
+def plain_precision(hits, support):
+    """101 points of the envelope, integrated by trapezoids."""
+    r, p, k = [0.0], [1.0], 0
+    for n, h in enumerate(hits, 1):
+        k += h
+        r.append(k / support)
+        p.append(k / n)
+    r, p = np.array([*r, 1.0]), np.array([*p, 0.0])
+    x = np.linspace(0, 1, 101)
+    y = np.interp(x, r, np.maximum.accumulate(p[::-1])[::-1])
+    return float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
+
+
+def test_precision_against_the_plain_integral(spark):
+    rng = random.Random(7)
+    rows = [(c, round(rng.random(), 2), rng.random() < q, i, rng.randint(0, 9)) for i, (c, q) in enumerate([("a", 0.9), ("b", 0.5), ("c", 0.1), ("d", 0.0), ("e", 1.0)] * 40)]
+    df = spark.createDataFrame(rows, "c string, conf double, hit boolean, i int, image int")
+    targets = spark.createDataFrame([(r[0], r[4]) for r in rows], "c string, image int")
+    support = targets.groupBy("c").agg(F.count("*").alias("support"))
+    got = {r.c: r.ap for r in evaluation.average_precision(evaluation.precision_recall(df, "c", "conf", "hit", "i", support), "c", support).collect()}
+    for c in "abcde":
+        own = sorted((-x[1], x[3], x[2]) for x in rows if x[0] == c)
+        assert got[c] == pytest.approx(plain_precision([h for _, _, h in own], 40), abs=1e-9)
+    weights = spark.range(6).select(F.col("id").cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("image")).select("r", "image", evaluation.poisson_weight(5, "r", "image").alias("w"))
+    weight = {(r.r, r.image): r.w for r in weights.collect()}
+    spread = {r.c: r for r in evaluation.bootstrap_average_precision(df, targets, "c", "conf", "hit", "i", "image", 6, 0.5, 5).collect()}
+    for c in "ab":
+        each = []
+        for r in range(6):
+            hits = [h for _, _, h, w in sorted((-x[1], x[3], x[2], weight[r, x[4]]) for x in rows if x[0] == c) for _ in range(w)]
+            each.append(plain_precision(hits, len(hits)))
+        assert (spread[c].low, spread[c].high) == pytest.approx(tuple(np.quantile(each, [0.25, 0.75])), abs=1e-9)
+
+
 def test_bootstrap_is_repeatable_and_covers_the_mean(spark):
     df = spark.createDataFrame([(i, float(i % 7)) for i in range(200)], "u int, x double")
     a, b = (evaluation.bootstrap(df.repartition(n), "u", "x", [], 100, 0.9, 1).first() for n in (1, 5))

@@ -77,6 +77,27 @@ def fracture(df: DataFrame, cluster: str, mask: str) -> DataFrame:
     return own.withColumn("fractured", F.bit_count("mask") > 1)
 
 
+def metrics(labels: DataFrame, content: str, cluster: str, neighbors: DataFrame, ks: list[int], digits: int = 6) -> DataFrame:
+    """A row a k: clusters, points, noise and its share, sizes, and of the k original neighbours of each point those of its own
+    cluster: `coherence` among clustered points, `retention` among all. Ratios without a denominator are null."""
+    sizes = labels.groupBy(cluster).agg(F.count("*").alias("n"))
+    own = F.when(F.col(cluster) != NOISE, F.col("n"))
+    total = sizes.agg(
+        F.count(own).alias("clusters"), F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.col(cluster) == NOISE, F.col("n"))), F.lit(0)).alias("noise"),
+        F.max(own).alias("largest"), F.min(own).alias("smallest"), F.percentile(own, F.lit(0.5)).alias("middle"),
+    )
+    p, q = (labels.select(F.col(content).alias(c), F.col(cluster).alias(f"c_{c}")) for c in ("query", "neighbor"))
+    steps = labels.sparkSession.createDataFrame([(k,) for k in ks], "k int")
+    near = neighbors.join(p, "query").join(q, "neighbor").join(F.broadcast(steps), F.col("rank") <= F.col("k"))
+    kept = near.groupBy("k").agg(F.count_if((F.col("c_query") != NOISE) & (F.col("c_query") == F.col("c_neighbor"))).alias("retained"))
+    clustered = F.col("points") - F.col("noise")
+    over = lambda a, b: F.round(F.try_divide(a, b), digits)
+    return kept.crossJoin(total).select(  # a single row
+        "k", "clusters", "points", "noise", over(F.col("noise"), F.col("points")).alias("noise_share"), "largest", "smallest", "middle", over(F.col("largest"), clustered).alias("largest_share"),
+        "retained", (clustered * F.col("k")).alias("eligible"), over(F.col("retained"), clustered * F.col("k")).alias("coherence"), over(F.col("retained"), F.col("points") * F.col("k")).alias("retention"),
+    )
+
+
 def canonical(df: DataFrame, cluster: str, content: str) -> DataFrame:
     """df with `label`: clusters numbered from 0 by their smallest member, noise as it was."""
     order = df.where(F.col(cluster) != NOISE).groupBy(cluster).agg(F.min(content).alias("m"))

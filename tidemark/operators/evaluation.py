@@ -91,18 +91,23 @@ def macro(per_class: DataFrame, value: str) -> DataFrame:
     return per_class.agg(F.when(F.count(value) == F.count(F.lit(1)), F.avg(value)).alias("macro"), F.count("*").alias("classes"))
 
 
-def bootstrap(df: DataFrame, unit: str, value: str, by: list[str], resamples: int, level: float, seed: int) -> DataFrame:
-    """Percentile interval of the mean over resampled units: each unit has an independent Poisson(1) weight in each
-    resample, drawn from its hash, so reruns and any partitioning agree and no sample is ever gathered."""
-    sums = df.groupBy(*by, unit).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-    each = sums.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "__r", unit), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+def poisson_weight(seed: int, replicate: str, unit: str) -> Column:
+    """How often a unit is in a resample: Poisson(1) from its hash, so reruns and any partitioning agree."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), replicate, unit), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     weight, total, chance = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 12):  # the inverse of Poisson(1), beyond 11 at 1e-9
         total += chance
         weight = weight + F.when(u > total, 1).otherwise(0)
         chance /= k
-    means = each.withColumn("__w", weight).groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__s")).alias("s"), F.sum(F.col("__w") * F.col("__n")).alias("n"))
+    return weight
+
+
+def bootstrap(df: DataFrame, unit: str, value: str, by: list[str], resamples: int, level: float, seed: int) -> DataFrame:
+    """Percentile interval of the mean over resampled units, each with an independent weight in each resample; no sample is ever
+    gathered."""
+    sums = df.groupBy(*by, unit).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    each = sums.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    means = each.withColumn("__w", poisson_weight(seed, "__r", unit)).groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__s")).alias("s"), F.sum(F.col("__w") * F.col("__n")).alias("n"))
     low, high = (1 - level) / 2, (1 + level) / 2
     point = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.countDistinct(unit).alias("units"))
     mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
@@ -110,6 +115,23 @@ def bootstrap(df: DataFrame, unit: str, value: str, by: list[str], resamples: in
     return point.join(spread, by) if by else point.crossJoin(spread)
 
 
+def bootstrap_average_precision(detections: DataFrame, targets: DataFrame, cls: str, confidence: str, hit: str, tie: str, image: str, resamples: int, level: float, seed: int) -> DataFrame:
+    """(class, resamples, valid, low, high): the percentile interval of average precision over resampled images.
+
+    Precision is taken anew from all detections of each resample, an image's as often as its weight, never as a mean over
+    images. A resample without a target of the class is undefined and not counted as valid.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    support = targets.select(cls, image, every.alias("r")).withColumn("w", poisson_weight(seed, "r", image)).groupBy("r", cls).agg(F.sum("w").alias("support"))
+    found = detections.select(cls, confidence, hit, tie, image, every.alias("r")).withColumn("w", poisson_weight(seed, "r", image)).where("w > 0")
+    found = found.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("w")))).drop("w", image)
+    ran = running(found, ["r", cls], [F.desc(confidence), F.col(tie), F.col("__i")], {"k": F.col(hit).cast("int"), "n": F.lit(1)})
+    totals = support.join(found.groupBy("r", cls).agg(F.count("*").alias("total")), ["r", cls], "left")
+    got = interpolated(ran.where(hit).select("r", cls, "k", "n"), totals, ["r", cls])
+    at = lambda q: F.percentile("ap", F.lit(q))
+    return got.groupBy(cls).agg(F.lit(resamples).alias("resamples"), F.count("ap").alias("valid"), at((1 - level) / 2).alias("low"), at((1 + level) / 2).alias("high"))
+
+
 def hierarchical(df: DataFrame, arm: str, outer: str, inner: str, metrics: list[str], baseline: str) -> DataFrame:
     """(arm, metric, outer_n, mean, std, effect): means over inner seeds, then over outer ones; std with one degree of
     freedom, null for one; effect against the baseline arm."""

@@ -368,6 +368,14 @@ def macro_average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("classes"), *means)
 
 
+@catalogue.add()
+def bootstrap_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of each class's average precision over resampled users, whose events are detections."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", (((F.col("event_id") * 37) % 1000) >= 500).alias("hit"))
+    targets = rows.where((F.col("event_id") * 37) % 1000 >= 400)
+    return E.bootstrap_average_precision(rows, targets, "event_type", "value", "hit", "event_id", "user_id", 20, 0.9, 3)
+
+
 @catalogue.add()
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.bootstrap(table(spark, sf_dir, "events"), "user_id", "value", ["event_type"], 200, 0.95, 3)

@@ -245,6 +245,17 @@ def changepoint_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("change is not null").select("label", "vec_id", "position", F.round("change", 6).alias("change"))
 
 
+@catalogue.add(f"""WITH {BOTH}, r AS (SELECT q, lq - 1 AS a, ln - 1 AS b, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS i FROM s), k AS (SELECT unnest([5, 10, 20]) AS k), c AS (SELECT label - 1 AS c, count(*) AS n FROM embeddings GROUP BY 1),
+t AS (SELECT count(*) FILTER (WHERE c >= 0) AS clusters, CAST(sum(n) AS BIGINT) AS points, CAST(coalesce(sum(n) FILTER (WHERE c < 0), 0) AS BIGINT) AS noise, max(n) FILTER (WHERE c >= 0) AS largest, min(n) FILTER (WHERE c >= 0) AS smallest, median(n) FILTER (WHERE c >= 0) AS middle FROM c),
+g AS (SELECT k, count(*) FILTER (WHERE a >= 0 AND a = b) AS retained FROM r, k WHERE i <= k GROUP BY 1)
+SELECT k, clusters, points, noise, round(noise / points, 6) AS noise_share, largest, smallest, middle, round(largest / (points - noise), 6) AS largest_share, retained, (points - noise) * k AS eligible, round(retained / ((points - noise) * k), 6) AS coherence, round(retained / (points * k), 6) AS retention FROM g, t""")
+def clustering_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a clustering with noise is like: sizes, noise, and how many of the original neighbours it keeps together."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") - 1).alias("c"))
+    rows = vectors(spark, sf_dir)
+    return K.metrics(labels, "vec_id", "c", S.top_k(rows, rows, 20), [5, 10, 20])
+
+
 @catalogue.add()
 def hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators.kernels import hdbscan as fit
