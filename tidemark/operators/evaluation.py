@@ -77,7 +77,7 @@ def mean_average_precision(detections: DataFrame, cls: str, confidence: str, ove
     sums = {"n": F.lit(1)} | {f"tp{i}": h.cast("int") for i, h in enumerate(hit)}
     ran = running(detections.select(cls, confidence, overlap, tie), [cls], [F.desc(confidence), F.col(tie)], sums)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col(f"tp{i}").alias("k"), h.alias("hit")) for i, h in enumerate(hit)]))
-    hits = ran.select(cls, "n", each.alias("h")).select(cls, "h.t", "h.k", "n", "h.hit").where("hit").drop("hit")
+    hits = cut(ran.select(cls, "n", each.alias("h")).select(cls, "h.t", "h.k", "n", "h.hit").where("hit").drop("hit"))  # read three times
     total = detections.groupBy(cls).agg(F.count("*").alias("total"))
     steps = F.explode(F.sequence(F.lit(0), F.lit(len(overlaps) - 1))).alias("t")
     totals = support.join(total, cls, "left").select(cls, "support", "total", steps)

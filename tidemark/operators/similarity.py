@@ -51,6 +51,9 @@ def grid(left: DataFrame, right: DataFrame, kernel: Kernel, schema: str, block:
             return pd.DataFrame({c: [] for c in empty})
         return kernel(p.sort_values("id"), q.rename(columns=lambda c: c[2:]).sort_values("id"))
 
+    # By number, so that small tables aren't put into one task: a cell is little data and much work.
+    tasks = min(2 * n[0] * n[1], 20_000)
+    a, b = a.repartition(tasks, "x", "y"), b.repartition(tasks, "__x", "__y")
     return a.groupBy("x", "y").cogroup(b.groupBy("__x", "__y")).applyInPandas(run, schema)
 
 
