@@ -134,6 +134,19 @@ def test_lines_against_brute_force(spark, rows):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_lines_with_many_drops_go_by_a_bitmap(spark, monkeypatch):
+    """The way beyond the broadcast gives the same."""
+    rng = random.Random(9)
+    pool = ["x" * 40, "y" * 41, "z" * 39, "short", ""]
+    docs = [(i, "\n".join(rng.choice([*pool, str(i) * 41]) for _ in range(rng.randint(0, 4))) if i % 9 else None) for i in range(60)] + [(None, "x" * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(lines, "SMALL", 0)
+    monkeypatch.setattr(lines, "BUCKETS", 1)
+    got = lines.dedup(df)
+    own = sorted(((r.doc_id, r.lines.n_lines, r.lines.n_dropped, hashlib.sha256(r.lines.text.encode()).hexdigest()) for r in got.collect()), key=repr)
+    assert own == expected_lines(docs) and got.columns == [*df.columns, "lines"]
+
+
 def test_filter_never_misses_a_repeat(spark):
     docs = [(i, "\n".join(f"{(i * 7 + j) % 50:050d}" for j in range(5))) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)

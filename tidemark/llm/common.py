@@ -17,15 +17,13 @@ from tidemark.storage import FEW, cut, cut_counted, release, scratch, small, sto
 __all__ = ["FEW", "components", "cut", "cut_counted", "narrow", "release", "running", "scratch", "small", "spread_join", "stored"]
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
-BATCH = 500
+#: MB of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
+BATCH = 2
 
 
 def narrow(spark: SparkSession) -> None:
-    """Let the session's Arrow batches have at most BATCH rows, so that a Python worker's memory stays small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH:
-        spark.conf.set(name, str(BATCH))
+    """Let the session's Arrow batches have at most BATCH MB, whatever their rows, so that a Python worker's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}m")
 
 
 def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:

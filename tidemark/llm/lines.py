@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import FEW, cut, spread_join, stored
 
 #: A page of a filter, in bytes; tasks send only the pages that they touched.
 PAGE = 8192
+#: Digests of dropped lines that are broadcast to the texts, and buckets (of 32,768 bits) of the bitmap that is used beyond them.
+SMALL, BUCKETS = 500_000, 2048
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -123,8 +125,9 @@ def repeated(docs: DataFrame, doc_id: str, text: str, least: int = 40, copies: i
     pairs = rows.mapInPandas(suspects, "doc_id string, key binary").select("key", F.col("doc_id").cast("long").alias("doc_id")).groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
     pairs = stored(pairs.select("key", "doc_id"), "lines")
     many = pairs.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies)
-    lost = pairs.join(many, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return lost.groupBy("doc_id").agg(F.collect_list("key").alias("drops"))
+    many = cut(many)
+    lost = spread_join(pairs, many, "key", "doc_id", "n", pairs.count()).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return cut(lost.groupBy("doc_id").agg(F.collect_list("key").alias("drops")))
 
 
 def dropped(text: Column, drops: Column, least: int) -> Column:
@@ -157,8 +160,34 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     named `lines` is replaced. Keys are compared by 128-bit digests.
     """
     gone = repeated(docs, doc_id, text, least, copies).select(F.col("doc_id").alias("__id"), F.col("drops").alias("__drops"))
-    joined = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("lines", dropped(F.col(text), F.col("__drops"), least)).drop("__id", "__drops")
+    size = gone.agg(F.count("*").alias("docs"), F.sum(F.size("__drops")).alias("lines")).first()
+    match = F.col(doc_id).cast("long").eqNullSafe(F.col("__id"))
+    if (size.docs or 0) <= FEW and (size.lines or 0) <= SMALL:
+        joined = docs.join(F.broadcast(gone), match, "left")
+        return joined.withColumn("lines", dropped(F.col(text), F.col("__drops"), least)).drop("__id", "__drops")
+    # Texts that lose nothing stay where they are; the others, and a few that a bitmap of ids can't tell from them, go to their drops.
+    maybe = docs.join(F.broadcast(bitmap(gone)), place(F.col(doc_id))[0] == F.col("__bucket"), "left")
+    maybe = maybe.withColumn("__hit", F.coalesce(bit_of(F.col("__bits"), place(F.col(doc_id))[1]), F.lit(False))).drop("__bucket", "__bits")
+    whole = F.struct(F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.coalesce(text, F.lit("")).alias("text"))
+    joined = maybe.where("__hit").join(gone, match, "left").withColumn("lines", dropped(F.col(text), F.col("__drops"), least)).drop("__id", "__drops")
+    return maybe.where("not __hit").withColumn("lines", whole).unionByName(joined).drop("__hit")
+
+
+def place(doc_id: Column) -> tuple[Column, Column]:
+    """An id's bucket of the bitmap, and its bit there."""
+    at = F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(BUCKETS * 32768))
+    return F.floor(at / 32768), (at % 32768).cast("int")
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """(__bucket, __bits) of __id: at most BUCKETS rows of 4096 bytes, whatever the ids."""
+    bucket, at = place(F.col("__id"))
+    return ids.select(bucket.alias("__bucket"), at.cast("long").alias("at")).groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bits"))
+
+
+def bit_of(bits: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substr(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
 
 
 def sql(documents: str = "documents") -> str:
