@@ -1,13 +1,17 @@
 import hashlib
+import itertools
+import math
 import random
 import re
+import zlib
 
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, language, mix, pii
+from tidemark.llm import bpe, language, mix, pii, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["the", " and", "é", "'s", "'", "ll", "  ", "\n", "\n\n", " <|endoftext|>", "<|endoftext|>", "123", "4", "...", " x", "aaaa", "日本", "🙂", "ing", "’", "\x85", "ñ"]
@@ -49,6 +53,20 @@ def test_encoded_column(spark, whole):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_texts_are_many_tasks_work(spark, whole):
+    """Segments encoded apart and joined by key, against the library; repeated rows, clashing columns and no rows."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(1, 700))) for _ in range(30)] + [None, "", "ab" * 900, "x" * 700, " " * 800 + "'s"]
+    rows = [(i % 20, t, "old") for i, t in enumerate(texts)] + [(3, texts[3], "old")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, bpe string").selectExpr("*", "1 as i", "2 as t", "3 as ids")
+    got = bpe.encode(df, PATH, keep_ids=True, chunk=40, segment=150)
+    assert got.columns == df.columns[:2] + df.columns[3:] + ["bpe"] or set(got.columns) == set(df.columns)
+    of = lambda xs: sorted(xs, key=repr)
+    assert of((r.doc_id, r.text, list(r.bpe.ids)) for r in got.collect()) == of((i, t, whole(t or "")) for i, t, _ in rows)
+    assert all(r.bpe.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest() for r in got.collect())
+    assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
 def luhn(s):
     d = [int(c) for c in reversed(s)]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
@@ -120,11 +138,51 @@ def test_languages_without_anything_to_learn(spark):
     assert df.select(language.classify(F.col("text"), one).alias("p")).first().p.lang_pred == "xx"
 
 
-def test_a_narrow_margin_of_a_long_text_is_rejected(spark):
+def test_a_narrow_margin_is_rejected(spark):
     same = {"a": language.plain("one two three " * 50), "b": language.plain("one two three " * 50)}
     df = spark.createDataFrame([("one two three " * 40,), ("one",)], "text string")
     got = df.select(language.classify(F.col("text"), language.Languages(same)).alias("p")).collect()
-    assert [r.p.rejected for r in got] == [True, False]
+    assert [r.p.rejected for r in got] == [True, True]  # also of a short one
+
+
+def test_languages_against_a_plain_version_and_held_out_accuracy(spark):
+    """The query over whole texts: learned from three quarters, told by plain compression, right on the rest."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    kept = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang", F.xxhash64("text").bitwiseAND(F.lit(2**63 - 1)).alias("h")).collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            kept.setdefault(r.lang, {})[r.h] = r.text
+    tools = []
+    for g, own in sorted(kept.items(), key=lambda x: (-len(x[1]), x[0])):
+        texts, n = [], 0
+        for _, t in sorted(own.items()):
+            n += len(t.encode())
+            if n <= 1 << 19:
+                texts.append(t)
+        raw = zstandard.ZstdCompressionDict(language.plain(" ".join(reversed(texts))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        tools.append((g, zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    got, right, n = {r.doc_id: r for r in queries.op10_language(spark, "/root/testdata/sf0.01").collect()}, 0, 0
+    assert len(got) == len(docs)
+    for r in docs:
+        own = got[r.doc_id]
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (own.lang_pred, own.score) == ("und", 0.0)
+            continue
+        raw = language.plain(r.text)
+        sizes = [sum(len(z.compress(raw[i : i + 8192])) for i in range(0, len(raw), 8192)) for _, z in tools]
+        if sorted(sizes)[0] == sorted(sizes)[1]:
+            sizes = [sum(len(z.compress((raw[i : i + 2048] + b" ") * 4)) for i in range(0, len(raw), 2048)) for _, z in tools]
+        best = min(range(len(tools)), key=lambda i: (sizes[i], i))
+        assert own.lang_pred == tools[best][0] and own.score == pytest.approx(1 - sizes[best] / sorted(sizes)[1])
+        n, right = n + own.held_out, right + (own.held_out and own.lang_pred == r.lang)
+    assert right / n >= 0.95
+
+
+def test_languages_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    model = language.fit(df)
+    assert model.dictionaries == {} and df.select(language.classify(F.col("text"), model).alias("p")).count() == 0
 
 
 def water(sizes, weights, total):
@@ -143,6 +201,64 @@ def test_targets_fill_to_the_total():
     assert all(got[s] == pytest.approx(want[s], abs=1e-6) for s in sizes) and mix.targets({"x": 0}) == {"x": 0.0}
 
 
+def test_sources_share_alike_without_being_gathered(spark):
+    rng = random.Random(8)
+    for sizes in ({"b": 100, "a": 10, "c": 50, None: 0, "é": 500}, {f"s{i}": rng.randint(0, 1000) for i in range(40)}, {"x": 0}):
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "s string, n long")
+        got = {r.s: r.target for r in mix.shared(df).collect()}
+        assert got == {s: pytest.approx(t, abs=1e-6) for s, t in mix.targets(sizes).items()}
+
+
+def plain_mix(docs):
+    """Copies of (id, text, source, key) by sorting each source's documents: the method without bins."""
+    out, by = {}, {}
+    for _, t, s, key in docs:
+        by.setdefault(s, []).append((key, len(re.findall(mix.WORD, t or ""))))
+    goal = mix.targets({s: sum(n for _, n in own) for s, own in by.items()})
+    for s, own in by.items():
+        each = goal[s] / max(sum(n for _, n in own), 1)
+        whole = min(int(each + 1e-9), 2)
+        rest, octaves, left = max(each - whole, 0.0), {}, 0.0
+        for key, n in own:
+            out[s, key] = whole
+            if n and rest > 1e-9:
+                u = (key % (1 << 52) + 0.5) / (1 << 52)
+                q = u / (1 - u) / (rest / (1 - rest) / n)
+                octaves.setdefault(int(math.log2(n)), []).append((q / (1 + q), key, n))
+        for _, ranked in sorted(octaves.items(), reverse=True):
+            ranked.sort()
+            sums = [0, *itertools.accumulate(d[2] for d in ranked)]
+            base = max(i for i, x in enumerate(sums) if x <= rest * sums[-1])
+            left += rest * sums[-1]
+            at = min(range(max(0, base - mix.NEAR), min(len(ranked), base + mix.NEAR) + 1), key=lambda i: (abs(sums[i] - left), i))
+            left -= sums[at]
+            for _, key, _ in ranked[:at]:
+                out[s, key] += 1
+    return out
+
+
+@pytest.mark.parametrize("bins, near", [(4, 3), (4096, 1024)])
+def test_mix_against_plain_order_sampling(spark, monkeypatch, bins, near):
+    monkeypatch.setattr(mix, "BINS", bins)
+    monkeypatch.setattr(mix, "NEAR", near)
+    rng = random.Random(11)
+    docs = [(i, "w " * int(rng.paretovariate(0.8)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    keyed = [tuple(r) for r in df.selectExpr("doc_id", "text", "source", "xxhash64(7, cast(doc_id as string), text)").collect()]
+    want = plain_mix(keyed)
+    got = {r.doc_id: r.copies for r in mix.mix(df, texts=False).selectExpr("doc_id", "mix.copies").collect()}
+    assert got == {i: want[s, key] for i, _, s, key in keyed}
+    assert len(set(want.values())) > 1
+
+
+def test_shorter_documents_are_likelier(spark):
+    """Inclusion odds fall with size: documents of a source are sampled with unequal probability."""
+    docs = [(i, "w " * (70 if i % 2 else 120), "a" if i < 800 else "z") for i in range(3000)]
+    got = mix.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).selectExpr("source", "doc_id % 2 as short", "mix.copies as c")
+    mean = {(r.source, r.short): r.c for r in got.groupBy("source", "short").agg(F.avg("c").alias("c")).collect()}
+    assert mean["z", 1] > mean["z", 0] + 0.05
+
+
 def test_mix(spark, rows):
     rng = random.Random(5)
     docs = [(i, "w " * int(rng.paretovariate(0.9)), rng.choice(["a", "b", "c", "d", None])) for i in range(1500)]

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 #: No added token or contraction of the vocabulary is longer, so what a cut changes begins less than this before it.
 REACH = 16
 
@@ -82,14 +84,24 @@ class Encoder:
         return self.fast.decode_bytes(ids).decode("utf-8", "replace")
 
     def encode_long(self, text: str) -> list[int]:
+        return self.part(text).ids.tolist()
+
+    def part(self, text: str) -> Part:
         """Halves down to `chunk` code points are encoded side by side, then joined pairwise up the tree."""
         cuts = [0, len(text)]
         while max(b - a for a, b in zip(cuts, cuts[1:])) > self.chunk:
             cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:]) if b - a > self.chunk)})
-        parts = self.parts([text[a:b] for a, b in zip(cuts, cuts[1:])])
+        return self.tree(self.parts([text[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def tree(self, parts: list[Part]) -> Part:
         while len(parts) > 1:
             parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0].ids.tolist()
+        return parts[0]
+
+    def again(self, text: str, ids: np.ndarray, pieces: np.ndarray) -> Part:
+        """A part that another task has encoded."""
+        ends = np.cumsum(self.length[ids])
+        return Part(text.encode("utf-8"), ids, ends - self.length[ids], pieces)
 
     def parts(self, texts: list[str]) -> list[Part]:
         out = []
@@ -171,30 +183,77 @@ def encoder_of(path: str, chunk: int) -> Encoder:
     return Encoder(path, chunk)
 
 
+def row_of(encoder: Encoder, digits: list[str], ids: list[int], keep_ids: bool) -> tuple:
+    """A text's number of tokens and the digests of its ids and of the text that they decode to."""
+    shown = ",".join([digits[i] for i in ids])
+    out = len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest()
+    return (*out, np.array(ids, np.int32)) if keep_ids else out
+
+
+def kind_of(keep_ids: bool) -> str:
+    return "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+
+
+def quiet(path: str, chunk: int) -> tuple[Encoder, list[str]]:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    encoder = encoder_of(path, chunk)
+    return encoder, [str(i) for i in range(len(encoder.length))]
+
+
 def encoded(text: Column, path: str, keep_ids: bool = False, chunk: int = 32768) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256[, ids]> of a text column; null counts as the empty text.
 
     Whole texts, one at a time, so memory is bounded by an Arrow batch and the longest text. The tokens are decoded
     again, special ones kept, and both digests are taken from what was made.
     """
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    kind = kind_of(keep_ids)
 
     @F.pandas_udf(kind)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder = encoder_of(path, chunk)
-        digits = [str(i) for i in range(len(encoder.length))]
-
-        def row(text: str) -> tuple:
-            ids = encoder.encode_one(text)
-            shown = ",".join([digits[i] for i in ids])
-            out = len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids).encode("utf-8")).hexdigest()
-            return (*out, np.array(ids, np.int32)) if keep_ids else out
-
+        encoder, digits = quiet(path, chunk)
         names = [c.split()[0] for c in kind.split(", ")]
         for s in batches:
-            yield pd.DataFrame([row("" if t is None else t) for t in s], columns=names)
+            yield pd.DataFrame([row_of(encoder, digits, encoder.encode_one("" if t is None else t), keep_ids) for t in s], columns=names)
 
     return coded(text)
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep_ids: bool = False, chunk: int = 32768, segment: int = 65536) -> DataFrame:
+    """docs with `bpe`: struct<n_tokens, ids_sha256, decoded_sha256[, ids]> of the text.
+
+    A text of more than `segment` code points is cut into segments, which are rows of their own: tasks encode them side by side,
+    each as halves down to `chunk` joined up the tree, and the segments' parts are then joined up the tree once more, where
+    windows around each cut grow until both sides agree. So a very long text is many tasks' work, and only the
+    joining, which reads little beyond the cuts, is one's. All other texts are encoded where they are.
+
+    Null counts as the empty text, which has no tokens. Rows are encoded one by one, so repeated rows and ids stay; extra
+    columns stay, a column `bpe` is replaced; an empty table gives an empty result.
+    """
+    kind, column = kind_of(keep_ids), F.col(text)
+    names = [c.split()[0] for c in kind.split(", ")]
+    long = cut(docs.where(F.length(column) > segment).withColumn("__row", F.monotonically_increasing_id()))
+    short = docs.where(F.coalesce(F.length(column) <= segment, F.lit(True))).withColumn("bpe", encoded(column, path, keep_ids, chunk))
+    if long.isEmpty():
+        return short
+    starts = F.sequence(F.lit(0), F.floor((F.length(column) - 1) / segment).cast("int"))
+    pieces = long.select("__row", F.posexplode(F.transform(starts, lambda i: F.substring(column, i * segment + 1, F.lit(segment)))).alias("i", "t"))
+
+    def encode_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder, _ = quiet(path, chunk)
+        for pdf in batches:
+            for row, i, t in zip(pdf["__row"], pdf["i"], pdf["t"]):
+                part = encoder.part(t)
+                yield pd.DataFrame({"__row": [row], "i": [i], "t": [t], "ids": [part.ids.astype(np.int32)], "pieces": [part.pieces]})
+
+    def join_segments(pdf: pd.DataFrame) -> pd.DataFrame:
+        encoder, digits = quiet(path, chunk)
+        pdf = pdf.sort_values("i")
+        whole = encoder.tree([encoder.again(t, np.asarray(ids, np.int64), np.asarray(at, np.int64)) for t, ids, at in zip(pdf["t"], pdf["ids"], pdf["pieces"])])
+        return pd.DataFrame([(pdf["__row"].iloc[0], *row_of(encoder, digits, whole.ids.tolist(), keep_ids))], columns=["__row", *names])
+
+    parts = pieces.repartition("__row", "i").mapInPandas(encode_segments, "__row long, i int, t string, ids array<int>, pieces array<long>")
+    whole = parts.groupBy("__row").applyInPandas(join_segments, f"__row long, {kind}")
+    done = long.drop("bpe").join(whole.select("__row", F.struct(*names).alias("bpe")), "__row").drop("__row")
+    return short.unionByName(done)

@@ -63,13 +63,13 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    got = mix.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), texts=False)
     return got.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encoded(F.col("text"), vocabulary())
-    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", "c.*")
+    got = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return got.select("doc_id", "bpe.*")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
