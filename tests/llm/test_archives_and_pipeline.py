@@ -1,14 +1,20 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from tests.llm.test_dedup import edits
+from tests.llm.test_texts import plain_mix
 from tidemark.llm import minhash, warc
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_archives_round_trip(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
     big = "x" * 1200
     pages = [(1, "http://a b", big), (2, None, big), (2, "u", big), (None, "u", big), (3, "u", None), (4, "u", ""), (5, "ü\n", "é" * 600), (6, "u", "P*M\x18\0\0\0\0" * 300), (7, "q", "small"), (8, "q", "small"), (2**60 + 1, "w", "y" * 999)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as bytes", "'d' as digest", "0 as first")
@@ -27,7 +33,9 @@ def test_each_frame_opens_alone_with_the_leading_dictionary(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} " + "words and more " * 40) for i in range(300)], "page_id long, url string, html string")
     path = warc.scratch(spark, "test")
     warc.write(df.coalesce(1), path)
-    contents = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert files and all(r.path.endswith(".warc.zst") for r in files)
+    contents = [bytes(r.content) for r in files]
     assert sum(1 for c in contents for _ in warc.frames(c)) == 300 + len(contents)  # with a warcinfo record each
     assert all(int.from_bytes(c[:4], "little") == warc.DICTIONARY_MAGIC for c in contents)
     plain = sum(len(zstandard.compress(f)) for c in contents for f in warc.frames(c))
@@ -89,6 +97,36 @@ def test_rows_without_ids_and_repeated_rows(spark):
     assert sorted(got, key=repr) == sorted([0, 1, 2, 3, 4, 5, None, None], key=repr)
 
 
+def test_rows_of_one_id_with_unlike_texts_all_stay(spark):
+    docs, _ = documents(spark)
+    one = docs.where("doc_id in (8, 9)").selectExpr("8L as doc_id", *docs.columns[1:])
+    again = one.unionByName(one.withColumn("source", F.lit("zz"))).repartition(3)
+    got = corpus_pipeline.keep_one_of_each_group(spark, again, "").collect()
+    assert len(got) == 2 and len({r.text for r in got}) == 2 and "zz" not in {r.source for r in got}
+
+
+def test_run_against_plain_stages(spark, tmp_path):
+    """The whole pipeline's rows from plain versions: no Spark but for the hash that seeds the sampling."""
+    docs, foot = documents(spark)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    rows = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]  # both languages of this table are told apart
+    holders = [r[0] for r in rows if foot in r[1].split("\n")]
+    rows = [(i, "\n".join(x for x in t.split("\n") if x != foot or i == max(holders)), g, s) for i, t, g, s in rows]
+    kept = []
+    for i, t, g, s in sorted(rows):
+        a = t.lower().split()
+        if not any(edits(a, b) <= 0.2 * max(len(a), len(b)) for b, *_ in kept):
+            kept.append((a, i, t, g, s))
+    keyed = spark.createDataFrame([(i, t, s) for _, i, t, _, s in kept], "i long, t string, s string")
+    keyed = [tuple(r) for r in keyed.selectExpr("i", "t", "s", "xxhash64(7, cast(i as string), t)").collect()]
+    copies = plain_mix(keyed)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((i, s, tok.encode(t, add_special_tokens=False).ids) for i, t, s, key in keyed for _ in range(copies[s, key]))
+    assert sorted((r.doc_id, r.source, list(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+    assert len(want) > 60
+
+
 def test_run_over_empty_documents(spark, tmp_path):
     docs, _ = documents(spark)
     docs.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(str(tmp_path / "documents.parquet"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, running, stored
+from tidemark.llm.common import cut, running, spread_join, stored
 
 #: A turn is `<turn ROLE>TEXT</turn>` and a line end. Inside roles and texts the three control characters are escaped, so
 #: no mark can be forged and every turn reads back as it was.
@@ -43,7 +43,7 @@ class Forest:
     """`nodes`: one row a distinct beginning of a conversation: tree, node, parent, depth, start (of its tokens in the tree's
     depth-first sequence), length, position (of its first token; the others follow by one), ancestors (merged intervals
     [start, end) of the sequence that its tokens attend to, besides their own node up to themselves), learnt_from and
-    learnt_to (loss mask within the node), text. `turns`: conv, n, turns and the node of each turn."""
+    learnt_to (loss mask within the node), text, uses (turns that are this node). `turns`: conv, n, turns and the node of each turn."""
 
     nodes: DataFrame
     turns: DataFrame
@@ -95,21 +95,19 @@ def forest(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
 
     A null text or role is empty; rows without a conv_id are one conversation, named "". Tokens are code points. A tree may
     hold most of the corpus: it is ordered by sorting the distinct conversations' paths and numbered by distributed sums, so
-    no tree, hot first turn or often repeated conversation is gathered. One conversation is streamed, STEP bytes a turn.
+    no tree, hot first turn or often repeated conversation is gathered; ids and lengths alone are sorted and joined, texts come
+    in at the end. One conversation is streamed, STEP bytes a turn.
     """
     chain = stored(chained(rows, conv_id, turn, role, text), "chain")
     ends = chain.where("path is not null")
     distinct = ends.groupBy("node").agg(F.min("conv").alias("conv"), F.first("path").alias("path"), F.lit(1).cast("long").alias("one"))
     ranked = cut(running(distinct, ["path"], "one", "rank").select("conv", "rank"))
-    walked = stored(chain.drop("path", "turns").join(ranked, "conv"), "walked")
-    # The first conversation in order that has a node owns it; depth-first order is then (owner, depth).
-    owners = walked.groupBy("node").agg(F.min("rank").alias("owner"))
-    owned = walked.join(owners, "node").where("rank = owner").drop("owner", "conv")
-    laid = running(owned, ["rank", "n"], "length", "at")
-    laid = stored(laid, "laid")
-    trees = laid.where("n = 0").select("root", F.col("at").alias("first"))
-    laid = laid.join(trees, "root").withColumn("start", F.col("at") - F.col("first")).drop("at", "first")
-    laid = stored(laid, "nodes")
+    walked = cut(chain.select("conv", "n", "node", "root", "length").join(ranked, "conv"))
+    # The first conversation in order that has a node owns it; depth-first order is then (owner, depth). Texts stay behind.
+    own = walked.groupBy("node").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("root").alias("root"), F.first("length").alias("length"), F.count("*").alias("walks"))
+    laid = running(own, ["rank", "n"], "length", "at")
+    trees = cut(laid.groupBy("root").agg(F.min("at").alias("first"), F.count("*").alias("nodes")))
+    laid = cut(spread_join(laid, trees, "root", "node", "nodes", trees.agg(F.sum("nodes")).first()[0] or 0).withColumn("start", F.col("at") - F.col("first")).drop("at", "first", "nodes"))
 
     def ancestors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank, spans, out = None, [], []
@@ -128,12 +126,13 @@ def forest(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
                     out = []
         yield pd.DataFrame(out, columns=["node", "ancestors"])
 
-    places = laid.select("node", "start", F.col("rank").alias("owner"))
-    paths = walked.select("rank", "n", "node", "length").join(places, "node").repartition("rank").sortWithinPartitions("rank", "n")
-    above = paths.mapInPandas(ancestors, "node binary, ancestors array<struct<start:long,end:long>>")
-    nodes = laid.join(above, "node").select(
+    places = laid.select("node", "start", F.col("rank").alias("owner"), "walks")
+    steps = spread_join(walked.select("rank", "n", "node", "length"), places, "node", "rank", "walks", walked.count())
+    above = steps.repartition("rank").sortWithinPartitions("rank", "n").mapInPandas(ancestors, "node binary, ancestors array<struct<start:long,end:long>>")
+    said = chain.groupBy("node").agg(F.first(F.struct("parent", "position", "learnt_from", "learnt_to", "text")).alias("s"), F.count("*").alias("uses")).select("node", "s.*", "uses")
+    nodes = said.join(laid, "node").join(above, "node").select(
         F.lower(F.hex("root")).alias("tree"), "node", "parent", F.col("n").alias("depth"), "start", "length", "position",
-        "ancestors", "learnt_from", "learnt_to", "text",
+        "ancestors", "learnt_from", "learnt_to", "text", "uses",
     )
     return Forest(nodes, chain.select("conv", "n", "turns", "node"))
 
@@ -164,7 +163,8 @@ def read_back(made: Forest) -> DataFrame:
             out.append((conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
         yield pd.DataFrame(out, columns=names)
 
-    turns = made.turns.join(made.nodes.select("node", "text", "learnt_from", "learnt_to"), "node")
+    nodes = made.nodes.select("node", "text", "learnt_from", "learnt_to", "uses")
+    turns = spread_join(made.turns, nodes, "node", "conv", "uses", made.turns.count())
     ordered = turns.repartition("conv").sortWithinPartitions("conv", "n").select("conv", "text", "learnt_from", "learnt_to")
     return ordered.mapInPandas(digest, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch
+from tidemark.llm.common import FEW, cut, scratch, spread_join
 
 #: Fixed values of the format: the magic number of the dictionary's skippable frame, and of an empty one that may follow.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -26,13 +26,19 @@ def planned(pages: DataFrame, page_id: str, url: str, html: str, least: int) ->
     """page_id, url, html (null for revisits), bytes, digest, record_type, refers_to; ids as text.
 
     Rows with equal payloads of `least` bytes or more: those with the largest page_id are the response, others revisit it.
-    Payloads are grouped by SHA-1 and length without their texts; the join splits where one payload has very many rows.
+    Payloads are grouped by SHA-1 without their texts. The repeated ones are broadcast to the rows if they are counted and few;
+    else rows and payloads shuffle, a payload with very many rows to many tasks.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": F.sha1(F.col("html").cast("binary"))})
     same = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    same = same.where("n > 1 and first is not null").select(F.col("digest").alias("d"), "first")
-    known = rows.join(same, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least), "left")
+    same = cut(same.where("n > 1 and first is not null"))
+    found = same.agg(F.count("*").alias("digests"), F.sum("n").alias("rows")).first()
+    if found.digests <= FEW:
+        known = rows.join(F.broadcast(same), "digest", "left")
+    else:
+        known = spread_join(rows, same, "digest", "page_id", "n", found.rows, "left")
+    known = known.withColumn("first", F.when(F.col("bytes") >= least, F.col("first")))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return known.select(
         F.col("page_id").cast("string").alias("page_id"), "url", F.when(~again, F.col("html")).alias("html"), "bytes", "digest",
@@ -74,7 +80,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     An archive is a skippable frame with the dictionary, then a frame for each record, each of which opens alone. Spark's
     own text writer puts out whole archives, one a file, so any file system that Spark writes to will do and a lost task's
-    files are written again with the same content. A null payload is empty; small and unequal payloads are responses.
+    files are written again with the same content; then the files are renamed to .warc.zst. A null payload is empty; small and unequal payloads are responses.
     """
     raw = dictionary(pages, html, date)
     rows = planned(pages, page_id, url, html, least)
@@ -96,6 +102,17 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
     archives = rows.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value"))
     archives.write.option("lineSep", TRAILER).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    rename(pages.sparkSession, path)
+
+
+def rename(spark: SparkSession, path: str) -> None:
+    """Give the finished files the name's end that WARC tools expect: a change of the file system's names alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
 
 
 def frames(content: bytes) -> Iterator[bytes]:
