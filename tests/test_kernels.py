@@ -48,6 +48,9 @@ def test_near_hashes_against_all_pairs(spark):
     want = {(i, j): ((x ^ y) & (2**64 - 1)).bit_count() for x, i in first.items() for y, j in first.items() if i < j and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
     want |= {(first[x], i): 0 for i, x in enumerate(h) if first[x] != i}
     assert got == want
+    every = {(i, j): ((x ^ y) & (2**64 - 1)).bit_count() for i, x in enumerate(h) for j, y in enumerate(h) if i < j and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
+    full = [(r.a, r.b, r.distance) for r in hashes.expand(hashes.near_hashes(df, "k", "h", 4), df, "k", "h").collect()]
+    assert len(full) == len(every) > len(want) and {(a, b): d for a, b, d in full} == every
     assert spark.range(1).select(hashes.from_hex(F.lit("ffffffffffffffff")).alias("x")).first().x == -1
 
 

@@ -40,6 +40,17 @@ def near_hashes(rows: DataFrame, key: str, bits: str, most: int, width: int = 64
     return near.unionByName(same.select(F.col("k").alias("a"), "b", F.lit(0).alias("distance")))
 
 
+def expand(near: DataFrame, rows: DataFrame, key: str, bits: str) -> DataFrame:
+    """All pairs (a, b, distance) of keys a < b, from the pairs of near_hashes: each key of equal hashes stands where their least does."""
+    own = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h"))
+    held = own.join(own.groupBy("h").agg(F.min("k").alias("least")), "h").select("least", "k")
+    side = lambda c: held.select(F.col("least").alias(f"{c}_least"), F.col("k").alias(c))
+    x, y = side("x"), side("y")
+    apart = near.where("distance > 0").join(x, F.col("a") == F.col("x_least")).join(y, F.col("b") == F.col("y_least"))
+    equal = x.join(y, F.col("x_least") == F.col("y_least")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
+    return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").unionByName(equal)
+
+
 def dct_rows(n: int, k: int) -> np.ndarray:
     """The first k rows of the orthonormal DCT-II of size n."""
     i = np.arange(n)

@@ -10,6 +10,7 @@ from tidemark.functions.stats import distribution
 from tidemark.operators import contents as C
 from tidemark.operators import joins as J
 from tidemark.plans.base import Catalogue, table
+from tidemark.storage import cut
 
 catalogue = Catalogue()
 SPLIT = "CASE WHEN doc_id % 10 = 0 THEN 'val' WHEN doc_id % 10 IN (1, 2) THEN 'test' ELSE 'train' END"
@@ -233,11 +234,12 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM c a JOIN c b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 2""")
 def perceptual_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents whose 24-bit hashes differ in two bits at most, by bands that such hashes must share."""
-    from tidemark.operators.hashes import near_hashes
+    from tidemark.operators.hashes import expand, near_hashes
 
     one = occurrences(spark, sf_dir).groupBy("content_id").agg(F.min("doc_id").alias("k"))
     hashed = one.select("k", F.conv(F.substring("content_id", 1, 6), 16, 10).cast("long").alias("h"))
-    return near_hashes(hashed, "k", "h", 2, 24)
+    hashed = cut(hashed)
+    return expand(near_hashes(hashed, "k", "h", 2, 24), hashed, "k", "h")
 
 
 @catalogue.add(f"""WITH {OCC}, x AS (SELECT content_id, count(*) AS n, min(doc_id) AS first FROM occ GROUP BY 1), s AS (SELECT DISTINCT content_id, source FROM occ)
