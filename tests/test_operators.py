@@ -215,3 +215,30 @@ def test_upsert_changes_only_what_differs(spark, rows):
     new = spark.createDataFrame([(1, "a", 5), (2, None, None), (9, "z", 9)], "k int, d string, n int")
     merged, log = review.upsert(old, new, "k", ["d", "n"])
     assert rows(merged) == [(1, "a", 5), (2, "b", 2)] and rows(log) == [(1, "n", "1", "5")]
+
+
+def test_blocks_are_read_where_they_are_kept(spark):
+    """However many blocks, no row is copied to meet them; every pair counts once."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(150, 4)), np.repeat(rng.normal(size=(2, 4)), 30, axis=0)])
+    df = spark.createDataFrame([(i, i % 3, [float(v) for v in r]) for i, r in enumerate(x)], "id long, g int, v array<double>")
+    got = similarity.pairs(df, 16, "g")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    seen = {(r.a, r.b): (r.g_a, r.g_b) for r in got.collect()}
+    assert len(seen) == got.count() == 210 * 209 // 2 and all(a < b and g == (a % 3, b % 3) for (a, b), g in seen.items())
+    exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.abs(similarity.distances(x, x) - exact).max() < 1e-12
+    sums = {(r.id, r.other): (r.n, r.total) for r in similarity.distance_sums(df, "g").collect()}
+    assert all(sums[i, g][0] == 70 - (i % 3 == g) and abs(sums[i, g][1] - exact[i, g::3].sum()) < 1e-9 for i in range(210) for g in range(3))
+
+
+def test_dbscan_links_of_copies_are_no_square(spark):
+    """Three hundred copies, a border row and noise: links leave a task as a forest."""
+    x = [[0.0, 0.0]] * 300 + [[1.0, 0.0], [9.0, 9.0]] + [[5.0, 0.1 * i] for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
+    got = {r.id: r.cluster for r in clusters.dbscan(df, 1.0, 5).collect()}
+    assert [got[i] for i in range(307)] == [0] * 301 + [-1] + [1] * 5
+    x[300] = [0.0, 1.0 + 1e-9]
+    df = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
+    assert {r.id: r.cluster for r in clusters.dbscan(df, 1.0, 5).collect()}[300] == -1

@@ -6,26 +6,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.graph import components
 from tidemark.operators.joins import spread_join
-from tidemark.storage import FEW, cut, cut_counted, release, scratch, small, stored
+from tidemark.storage import FEW, cut, cut_counted, narrow, release, scratch, small, stored
 
 __all__ = ["FEW", "components", "cut", "cut_counted", "narrow", "release", "running", "scratch", "small", "spread_join", "stored"]
 
 
-#: MB of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
-BATCH = 2
-
-
-def narrow(spark: SparkSession) -> None:
-    """Let the session's Arrow batches have at most BATCH MB, whatever their rows, so that a Python worker's memory stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}m")
-
-
 def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """df in the order of its columns `order`, with the sum of `value` over all rows before each row.
 
