@@ -242,3 +242,19 @@ def test_dbscan_links_of_copies_are_no_square(spark):
     x[300] = [0.0, 1.0 + 1e-9]
     df = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
     assert {r.id: r.cluster for r in clusters.dbscan(df, 1.0, 5).collect()}[300] == -1
+
+
+def test_near_ranks_against_full_rankings(spark):
+    """Only the nearest come out, with their rank among all rows by the other vector; ties go to the smaller id."""
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 4, (60, 3)).astype(float), rng.integers(0, 3, (60, 2)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), w.tolist()) for i, (v, w) in enumerate(zip(x, y))], "id long, v array<double>, w array<double>")
+    ranks = {}
+    for c, z in (("v", x), ("w", y)):
+        d = np.round(np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)), 9)
+        for i in range(60):
+            for r, j in enumerate(sorted((j for j in range(60) if j != i), key=lambda j: (d[i, j], j)), 1):
+                ranks[c, i, j] = r
+    got = similarity.near_ranks(df, 7).collect()
+    assert len(got) == 60 * 7 * 2
+    assert all(ranks[r.by, r["query"], r.neighbor] == r["rank"] and ranks["vw".replace(r.by, ""), r["query"], r.neighbor] == r.other for r in got)
