@@ -36,6 +36,21 @@ def test_too_many_points_are_refused(spark):
         kernels.points(blobs(spark), 50)
 
 
+def test_larger_tables_are_spread(spark, monkeypatch):
+    """Past what the driver compares itself, equal results from distributed comparisons; copies and ties included."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 2)) for c in ((0, 0), (5, 5), (0, 6))] + [np.round(rng.normal(3, 2, (40, 2))), np.full((6, 2), 9.0)])
+    df = spark.createDataFrame([(7 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    clusters, order = kernels.hdbscan(df, 6).collect(), kernels.optics(df, 5).collect()
+    monkeypatch.setattr(kernels, "MOST", 50)
+    monkeypatch.setattr(kernels, "NEAR", 8)
+    assert sorted(kernels.hdbscan(df, 6).collect()) == sorted(clusters) and len({r.cluster for r in clusters}) > 3
+    got = sorted(kernels.optics(df, 5).collect(), key=lambda r: r.position)
+    want = sorted(order, key=lambda r: r.position)
+    assert [r.id for r in got] == [r.id for r in want] and got[0].reachability is None
+    assert max(abs(a.reachability - b.reachability) for a, b in zip(got[1:], want[1:])) < 1e-9 and max(abs(a.core - b.core) for a, b in zip(got, want)) < 1e-9
+
+
 def test_near_hashes_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**63), 2**63 - 1, 20, dtype=np.int64)
