@@ -31,6 +31,28 @@ def test_agglomerative(spark, linkage):
     assert [got[i] for i in range(120)] == [0] * 40 + [1] * 40 + [2] * 40
 
 
+@pytest.mark.parametrize("linkage", ["average", "complete", "ward"])
+def test_agglomerative_against_a_scan_of_all_pairs(spark, linkage):
+    """Ties go to the smaller members, as in a search of the whole matrix before each merge."""
+    x = np.random.default_rng(3).integers(0, 5, (90, 2)).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) ** (2 if linkage == "ward" else 1)
+    np.fill_diagonal(d, np.inf)
+    size, owner, alive = np.ones(90), np.arange(90), np.ones(90, bool)
+    for _ in range(90 - 7):
+        i, j = sorted(divmod(int(d.argmin()), 90))
+        ward = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        new = {"complete": np.maximum(d[i], d[j]), "average": (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j]), "ward": ward}[linkage]
+        new[~alive] = new[i] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i], alive[j] = size[i] + size[j], False
+        owner[owner == j] = i
+    names = {c: k for k, c in enumerate(dict.fromkeys(owner.tolist()))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    assert {r.id: r.cluster for r in kernels.agglomerative(df, 7, linkage).collect()} == {i: names[c] for i, c in enumerate(owner.tolist())}
+    assert kernels.agglomerative(df.limit(0), 7, linkage).count() == 0 and kernels.MOST_PAIRS > 10_256
+
+
 def test_too_many_points_are_refused(spark):
     with pytest.raises(ValueError, match="more than"):
         kernels.points(blobs(spark), 50)
