@@ -233,6 +233,43 @@ def test_blocks_are_read_where_they_are_kept(spark):
     assert all(sums[i, g][0] == 70 - (i % 3 == g) and abs(sums[i, g][1] - exact[i, g::3].sum()) < 1e-9 for i in range(210) for g in range(3))
 
 
+def test_neighbours_are_ranked_where_they_are_found(spark):
+    """With left blocks enough a task streams all right ones, so nothing shuffles after it; rows of one id have one ranking."""
+    rng = np.random.default_rng(10)
+    x = np.round(rng.normal(size=(200, 3)), 1)
+    ids = [*range(199), 7]  # an id with two rows
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "id long, v array<double>")
+    got = similarity.top_k(df, df.where("id <> 7"), 4, block=16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Window" not in plan
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query"], {})[r["rank"]] = (r.neighbor, r.score)
+    score = np.round(x @ x.T, 6)
+    for q in range(199):
+        best = sorted((-score[i, j], j) for i in range(200) if ids[i] == q for j in range(199) if j not in (7, q))[:4]
+        assert [found[q][k][1] for k in (1, 2, 3, 4)] == [-s for s, _ in best]
+        assert q == 7 or [found[q][k][0] for k in (1, 2, 3, 4)] == [j for _, j in best]
+    assert len(found) == 199 and got.count() == 199 * 4
+
+
+def test_passes_over_all_pairs_share_blocks_and_sum_in_few_tasks(spark, monkeypatch):
+    """Blocks are packed once for all passes, and bins come from some tasks a core, however many blocks."""
+    monkeypatch.setattr(similarity, "STRATA", 16)
+    monkeypatch.setattr(similarity, "FINAL", 50)
+    rng, cut, cuts = np.random.default_rng(11), similarity.cut, []
+    monkeypatch.setattr(similarity, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    x = rng.normal(size=(600, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    got = similarity.pair_summary(df, quantiles={"median": 0.5, "p99": 0.99}).first()
+    assert sum(c == ["x", "rows"] for c in cuts) == 1
+    exact = (x @ x.T)[np.triu_indices(600, 1)]
+    assert got["count"] == len(exact) and abs(got.median - np.quantile(exact, 0.5)) < 1e-12 and abs(got.p99 - np.quantile(exact, 0.99)) < 1e-12
+    kept = similarity.packed(df, 16)
+    values = similarity.stratum_values(kept, similarity.everything, None, lambda name, v: None, "n long")
+    assert kept.n == 38 and values.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_dbscan_links_of_copies_are_no_square(spark):
     """Three hundred copies, a border row and noise: links leave a task as a forest."""
     x = [[0.0, 0.0]] * 300 + [[1.0, 0.0], [9.0, 9.0]] + [[5.0, 0.1 * i] for i in range(5)]
