@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions.stats import average_rank, distribution, entropy_bits, pearson
 from tidemark.functions.vectors import l2_normalize, quality
-from tidemark.operators import clusters, contents, evaluation, graph, joins, review, series, similarity, splits
+from tidemark.operators import clusters, contents, evaluation, graph, joins, leakage, review, series, similarity, splits
 
 
 def test_checked_join_names_the_repeated_side(spark):
@@ -384,6 +384,27 @@ def test_strata_of_rows_against_all_pairs(spark, monkeypatch):
         assert similarity.bins_of(np.array([least]), 1.1)[0] == key and (not key or similarity.bins_of(np.array([np.nextafter(least, -2)]), 1.1)[0] == key - 1)
 
 
+def test_relations_of_named_sequences_against_all_pairs(spark):
+    """Sequences of any type, missing ones among them; gaps are of equal sequences alone."""
+    rng = np.random.default_rng(22)
+    x, seq, mask = rng.normal(size=(90, 3)), [None if i % 7 == 0 else "abc"[i % 3] for i in range(90)], [1 << i % 3 for i in range(90)]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], seq[i], 2 * i, mask[i]) for i in range(90)], "id long, v array<double>, sequence string, position long, mask int")
+    want = {}
+    for i in range(90):
+        for j in range(i + 1, 90):
+            same = seq[i] == seq[j] if seq[i] and seq[j] else None
+            want.setdefault((same, mask[i] != mask[j], same is not None), []).append((round(float(x[i] @ x[j]), 9), 2 * (j - i)))
+    got = {(r.same_sequence, r.cross_split, r.complete): r for r in leakage.relation_counts(df, 9).collect()}
+    assert set(got) == set(want)
+    for k, pairs in want.items():
+        r, gap = got[k], [d for _, d in pairs]
+        assert r.pairs == len(pairs) and abs(r["mean"] - np.mean([s for s, _ in pairs])) < 1e-9
+        assert (r.least, r.most) == ((min(gap), max(gap)) if k[0] else (None, None))
+    p = pd.DataFrame({"sequence": ["a", None, "b"], "position": [1, 2, 9], "mask": [1, 2, 4]})
+    same = leakage.pair_relations(p, p)["same"]
+    assert same.tolist() == [[True, False, False], [False] * 3, [False, False, True]] and leakage.gaps(p, p, ~same).tolist() == [1, 8, 1, 0, 7, 8, 7]
+
+
 def test_own_sums_and_support_against_all_pairs(spark, rows):
     """Sums within groups as those of all groups, and mutual best matches as found by a join of either direction."""
     rng = np.random.default_rng(15)
