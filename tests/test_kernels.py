@@ -53,6 +53,20 @@ def test_agglomerative_against_a_scan_of_all_pairs(spark, linkage):
     assert kernels.agglomerative(df.limit(0), 7, linkage).count() == 0 and kernels.MOST_PAIRS > 10_256
 
 
+@pytest.mark.parametrize("linkage", ["average", "complete", "ward"])
+def test_agglomerative_of_larger_tables_is_spread(spark, monkeypatch, linkage):
+    """Past what the driver compares itself nothing is refused, and clusters are the same; copies, far pairs and hubs included."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (500, 6)), rng.normal(4, 0.2, (150, 6)), np.full((5, 6), 9.0), rng.normal(0, 40, (6, 6))])
+    x = np.concatenate([x, x[:40], x[650:652] + 0.01])
+    df = spark.createDataFrame([(5 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    want = sorted(kernels.agglomerative(df, 10, linkage).collect())
+    monkeypatch.setattr(kernels, "MOST_PAIRS", 50)
+    monkeypatch.setattr(kernels, "MOST_LEFT", 300)
+    monkeypatch.setattr(kernels, "BLOCK", 256)
+    assert sorted(kernels.agglomerative(df, 10, linkage).collect()) == want and len({r.cluster for r in want}) == 10
+
+
 def test_too_many_points_are_refused(spark):
     with pytest.raises(ValueError, match="more than"):
         kernels.points(blobs(spark), 50)
