@@ -87,6 +87,20 @@ def test_larger_tables_are_spread(spark, monkeypatch):
     assert max(abs(a.reachability - b.reachability) for a, b in zip(got[1:], want[1:])) < 1e-9 and max(abs(a.core - b.core) for a, b in zip(got, want)) < 1e-9
 
 
+def test_larger_optics_stays_off_the_driver(spark, monkeypatch):
+    """Neither vectors nor neighbours are collected, and the order is that of the driver's own scan."""
+    df = blobs(spark).repartition(3)
+    want = sorted(kernels.optics(df, 5).collect(), key=lambda r: r.position)
+    monkeypatch.setattr(kernels, "MOST", 50)
+    monkeypatch.setattr(kernels, "NEAR", 8)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "toPandas", lambda _: pytest.fail("collected"))
+        got = kernels.optics(df, 5)
+    got = sorted(got.collect(), key=lambda r: r.position)
+    assert [(r.id, r.position) for r in got] == [(r.id, r.position) for r in want] and got[0].reachability is None
+    assert all(abs(a.reachability - b.reachability) < 1e-9 for a, b in zip(got[1:], want[1:]))
+
+
 def test_near_hashes_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(-(2**63), 2**63 - 1, 20, dtype=np.int64)
