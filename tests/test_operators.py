@@ -420,3 +420,27 @@ def test_own_sums_and_support_against_all_pairs(spark, rows):
         s = [score[e] for e in own]
         assert (r.n, r.mutual) == (40, sum(best[j, r.left] == i for i, j in own))
         assert abs(r.median - np.quantile(s, 0.5)) < 1e-9 and abs(r.p95 - np.quantile(s, 0.95)) < 1e-9
+
+
+def test_rounded_scores_need_two_sweeps(spark, monkeypatch):
+    """However many pairs a first bin has, its rounded scores are few values, which the second sweep counts."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 3))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)], "id long, v array<double>, g int")
+    monkeypatch.setattr(similarity, "FINAL", 1500)
+    swept, sweeps = similarity.swept, []
+    monkeypatch.setattr(similarity, "swept", lambda *a, **k: sweeps.append(1) or swept(*a, **k))
+
+    def own(p, q):
+        same = p["g"].to_numpy()[:, None] == q["g"].to_numpy()[None, :]
+        return similarity.everything(p, q) | {"same": same, "other": ~same, "none": same & ~same}
+
+    got = {r.stratum: r for r in similarity.pair_summary(df, own, {"median": 0.5, "p99": 0.99}, 6).collect()}
+    i, j = np.triu_indices(400, 1)
+    score, same = np.round((x[i] * x[j]).sum(axis=1), 6), i % 3 == j % 3
+    assert len(sweeps) == 2 and set(got) == {"all", "same", "other"}
+    for name, v in {"all": score, "same": score[same], "other": score[~same]}.items():
+        r = got[name]
+        assert r["count"] == len(v) and (r.min, r.max) == (v.min(), v.max())
+        assert np.allclose([r.mean, r.std, r.median, r.p99], [v.mean(), v.std(), *np.quantile(v, [0.5, 0.99])], rtol=0, atol=1e-9)
